@@ -3,7 +3,7 @@
 1. *Blocking without loss.* Two sets of triples A, B with a Jaccard similarity of at least s share at least
    s / (1 + s) (|A| + |B|) triples. So, under any total order, the first |A| - ceil(s |A|) + 1 triples of A and the
    corresponding ones of B have one in common. The order puts triples of rare words first; rarity is read from a
-   table of word counts with a fixed number of buckets, filled from all texts.
+   tables of word and triple counts with a fixed number of buckets, filled from all texts.
 2. *Pivot distance tables.* The fingerprint of a set is the bit string of its triples' hashes (64 bit positions a
    triple, none shared in practice), the hash space is cut into CLASSES classes, and the reference fingerprints are all
    2^CLASSES unions of classes. The Hamming distance of a fingerprint x to a reference R is |x| + |R| - 2 |x and R|, so
@@ -16,10 +16,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
+import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,53 +26,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.runs import whole_runs
-from kelpie.llm.words import WORD, WordHashes, mixed, runs_of, words
+from kelpie.llm.words import WordHashes, mixed, runs_of, words
 from kelpie.session import written
 
-#: Buckets of the word count table: it has this size for any corpus (1 MB to each task).
-BUCKETS = 1 << 18
+#: Buckets of the count tables of words and of triples: they have this size for any corpus (5 MB to each task).
+WORD_BUCKETS, TRIPLE_BUCKETS = 1 << 18, 1 << 20
+#: A piece of a count table that travels as one row.
+PIECE = 1 << 15
 #: Classes of the hash space whose unions are the references.
 CLASSES = 64
+#: What a text must hold to have a triple at all.
+THREE_WORDS = r"(?s)[\p{L}\p{N}\p{M}](?:.*?[^\p{L}\p{N}\p{M}]+[\p{L}\p{N}\p{M}]){2}"
 #: A triple that more texts share is compared in blocks through the pivot table instead of pair by pair.
 HOT = 64
 #: Texts in a block of a hot triple.
 BLOCK = 8192
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
+class Triples:
+    """The distinct word triples of a batch of texts: arrays by (text's place in the batch, hash), sorted by both."""
+
+    def __init__(self, texts: list[str], known: WordHashes):
+        ws: list[str] = []
+        lengths = np.empty(len(texts), np.int64)
+        for k, x in enumerate(texts):
+            own = words(x)
+            ws += own
+            lengths[k] = len(own)
+        self.words = known.of(ws)
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        t = runs_of(self.words, 3)
+        inside = np.flatnonzero(doc[2:] == doc[:-2]) if len(doc) > 2 else np.empty(0, np.int64)
+        doc, t = doc[inside], t[inside]
+        order = np.lexsort((t, doc))
+        doc, t, at = doc[order], t[order], inside[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])
+        self.doc, self.hash, self.at = doc[new], t[new], at[new]
+        self.size = np.bincount(self.doc, minlength=len(texts))
+        self.start = np.r_[0, np.cumsum(self.size)]
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hash[self.start[k] : self.start[k + 1]]
+
+
+def _word_bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _text_key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _triple_bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of words in all texts, by bucket of the word's hash; BUCKETS numbers reach the driver at most."""
+def count_tables(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of words and of triples in all texts, by bucket of their hash.
+
+    Each task adds up its own tables and sends them in compressed pieces; pieces are added up per place, so the driver
+    gets one table of fixed size, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        known, total = WordHashes(), np.zeros(WORD_BUCKETS + TRIPLE_BUCKETS, np.int64)
         for batch in batches:
-            found = []
-            for x in batch.column(0).to_pylist():
-                if x:
-                    found.append(_bucket(known.of(words(x))))
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return counts
-
+            t = Triples(batch.column(0).to_pylist(), known)
+            total[:WORD_BUCKETS] += np.bincount(_word_bucket(t.words), minlength=WORD_BUCKETS)
+            total[WORD_BUCKETS:] += np.bincount(_triple_bucket(t.hash), minlength=TRIPLE_BUCKETS)
+        pieces = [(k, zlib.compress(total[at : at + PIECE].tobytes(), 1)) for k, at in enumerate(range(0, len(total), PIECE)) if total[at : at + PIECE].any()]
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["piece", "counts"])
 
-def triples(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct word triples of a text (sorted hashes) and, for each, the words' hashes at its first place (n x 3)."""
-    h = known.of(words(text))
-    t, first = np.unique(runs_of(h, 3), return_index=True)
-    return t, np.stack([h[first], h[first + 1], h[first + 2]], 1) if len(t) else np.empty((0, 3), np.uint64)
+    schema = "piece int, counts binary"
+    total = np.zeros(WORD_BUCKETS + TRIPLE_BUCKETS, np.int64)
+    for row in texts.select("text").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).toLocalIterator():
+        total[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
+    return total[:WORD_BUCKETS], total[WORD_BUCKETS:]
 
 
 def pivot_row(t: np.ndarray) -> np.ndarray:
@@ -87,41 +121,41 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, na, nb, s: float) -> np.ndarray:
     return np.abs(a - b).sum(-1) <= (1 - s) / (1 + s) * (na + nb) + 1e-9
 
 
-def _prefixes(texts: DataFrame, s: float, counts: np.ndarray, hot: int) -> DataFrame:
-    """(g, c, h): the first triples of each text, c being the text's key and g the triple.
+def _prefixes(texts: DataFrame, s: float, hot: int) -> DataFrame:
+    """(c, g, h): the first triples of each text, c being the text's key and g the triple.
 
-    Where one Arrow batch holds a triple more than ``hot`` times, it sends only hot + 1 rows to the triple's group,
-    enough to show that it is hot; for the others g is spread and h has the triple. So no group is ever large.
+    The order: triples whose bucket isn't fuller than usual come first, by the rarity of their words; then the common
+    ones by their bucket's count. Where one Arrow batch holds a triple more than ``hot`` times, it sends only hot + 1
+    rows to the triple's group, enough to show that it is hot; for the others g is spread and h has the triple. So no
+    group is ever large.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(np.log1p(counts).astype(np.float32))
+    word_count, triple_count = count_tables(texts)
+    usual = 64 + 4 * int(triple_count.sum()) // TRIPLE_BUCKETS
+    shared = texts.sparkSession.sparkContext.broadcast((np.log1p(word_count).astype(np.float32), np.maximum(triple_count - usual, 0).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rarity = WordHashes(), shared.value
+        known = WordHashes()
+        rarity, excess = shared.value
         for batch in batches:
-            hs, cs = [], []
-            for x in batch.column(0).to_pylist():
-                t, w = triples(x, known)
-                n = len(t)
-                if not n:
-                    continue
-                k = n - math.ceil(s * n - 1e-9) + 1
-                if k < n:
-                    t = t[np.lexsort((t, rarity[_bucket(w)].sum(1)))[:k]]
-                hs.append(t)
-                cs.append(np.full(len(t), _text_key(x)))
-            if not hs:
+            keys, t = batch.column(0).to_numpy(), Triples(batch.column(1).to_pylist(), known)
+            if not len(t.hash):
                 continue
-            g, c = np.concatenate(hs), np.concatenate(cs)
+            by_word = rarity[_word_bucket(t.words)]
+            weight = by_word[t.at] + by_word[t.at + 1] + by_word[t.at + 2]
+            order = np.lexsort((t.hash, weight, excess[_triple_bucket(t.hash)], t.doc))
+            first = t.size - np.ceil(s * t.size - 1e-9).astype(np.int64) + 1
+            rank = np.arange(len(order)) - t.start[t.doc]
+            kept = order[rank < first[t.doc]]
+            g, c = (t.hash[kept] >> np.uint64(16)).view(np.int64), keys[t.doc[kept]]
             order = np.argsort(g, kind="stable")
-            g, c = g[order], c[order]
-            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            rank = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
-            spread = rank > hot
+            start = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]])
+            spread = np.zeros(len(g), bool)
+            spread[order] = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)])) > hot
             with np.errstate(over="ignore"):
-                to = np.where(spread, mixed(g + c.view(np.uint64)), g)
-            yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(c), pa.array(g.view(np.int64), mask=~spread)], names=["g", "c", "h"])
+                to = np.where(spread, mixed((g + c).view(np.uint64)).view(np.int64), g)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(to), pa.array(g, mask=~spread)], names=["c", "g", "h"])
 
-    return texts.select("text").mapInArrow(run, "g bigint, c bigint, h bigint")
+    return texts.mapInArrow(run, "c bigint, g bigint, h bigint")
 
 
 def _grouped(prefixes: DataFrame, hot: int) -> DataFrame:
@@ -195,36 +229,30 @@ def _hot_pairs(members: DataFrame, features: DataFrame, s: float, block: int) ->
 
 def _features(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, n, pivots, t): of each wanted text the number of triples, the table's row and the triples themselves."""
-    key = "kelpie_c"
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_text_key(x) for x in batch.column(0).to_pylist()], pa.int64()), batch.column(0)], names=[key, "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sets = [triples(x, known)[0] for x in part.column(1).to_pylist()]
+                t = Triples(part.column(1).to_pylist(), known)
+                sets = [t.of(k) for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(t) for t in sets], pa.int64()),
-                        pa.array([np.minimum(pivot_row(t), 255).astype(np.uint8).tobytes() for t in sets], pa.binary()),
-                        pa.array([t.tobytes() for t in sets], pa.binary()),
+                        pa.array(t.size.astype(np.int64)),
+                        pa.array([np.minimum(pivot_row(x), 255).astype(np.uint8).tobytes() for x in sets], pa.binary()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
                     names=["c", "n", "pivots", "t"],
                 )
 
-    found = texts.select("text").mapInArrow(keyed, f"{key} bigint, text string").join(wanted, F.col(key) == F.col("c"), "left_semi").dropDuplicates([key])
-    return found.mapInArrow(run, "c bigint, n bigint, pivots binary, t binary")
+    return texts.join(wanted, "c", "left_semi").dropDuplicates(["c"]).mapInArrow(run, "c bigint, n bigint, pivots binary, t binary")
 
 
 def alike_texts(texts: DataFrame, similarity: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs a < b of keys of different texts, whose distinct word triples have at least this Jaccard similarity."""
-    counts = word_counts(texts)
-    grouped = written(_grouped(_prefixes(texts, similarity, counts, hot), hot).distinct(), "candidates")
+    """(a, b): pairs a < b of keys c of different texts (c, text), whose distinct word triples have at least this Jaccard similarity."""
+    grouped = written(_grouped(_prefixes(texts, similarity, hot), hot).distinct(), "candidates")
     near = grouped.where("is_hot = 0").select("a", "b")
     members = grouped.where("is_hot = 1").select(F.col("a").alias("h"), F.col("b").alias("c"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("c")).unionByName(members.select("c")).distinct()
@@ -257,19 +285,9 @@ def alike_texts(texts: DataFrame, similarity: float, hot: int = HOT, block: int
 
 
 def eligible(records: DataFrame, least_chars: int, key: str = "id", text: str = "text") -> DataFrame:
-    return records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least_chars))
-
-
-def _memberships(rows: DataFrame) -> DataFrame:
-    """(id, c): which text each row has, repeated rows once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            own = pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text_key(x) for x in texts], pa.int64())], names=["id", "c"])
-            yield own.filter(pa.array([sum(1 for _ in islice(WORD.finditer(x.lower()), 3)) == 3 for x in texts], pa.bool_()))
-
-    return rows.mapInArrow(run, "id bigint, c bigint").distinct()
+    """(id, c, text) of the rows that take part; c is the text's 64-bit hash, by which equal texts are one."""
+    rows = records.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(text)).alias("c"), F.col(text).alias("text"))
+    return rows.where(F.col("id").isNotNull() & (F.length("text") >= least_chars) & F.col("text").rlike(THREE_WORDS))
 
 
 def near_copy_pairs(records: DataFrame, similarity: float = 0.5, least_chars: int = 200, key: str = "id", text: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -280,8 +298,8 @@ def near_copy_pairs(records: DataFrame, similarity: float = 0.5, least_chars: in
     An empty table gives no pairs. Nothing is sampled or capped.
     """
     rows = eligible(records, least_chars, key, text)
-    ids = written(_memberships(rows), "memberships")
-    different = alike_texts(rows, similarity, hot, block)
+    ids = written(rows.select("id", "c").distinct(), "memberships")
+    different = alike_texts(rows.select("c", "text"), similarity, hot, block)
     equal = ids.join(ids.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c", "left_semi")
     a, b = equal.alias("a"), equal.alias("b")
     copies = a.join(b, F.col("a.c") == F.col("b.c")).where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import distinctive, lookalike, nearcopies, tokens
+from kelpie.llm import distinctive, leaks, lookalike, nearcopies, sentences, tokens
 from kelpie.sources.tables import table
 
 
@@ -26,8 +26,16 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents", "doc_id", "text"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaked(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(table(spark, root, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_ids)}
+    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ class WordHashes(dict):
         return h
 
     def of(self, ws: list[str]) -> np.ndarray:
-        return np.fromiter((self[w] for w in ws), np.uint64, len(ws))
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 def runs_of(h: np.ndarray, n: int) -> np.ndarray:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import distinctive, leaks, lookalike, nearcopies, sentences, tokens
+from kelpie.llm import distinctive, leaks, lookalike, nearcopies, neighbours, sentences, tokens
 from kelpie.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, root, "vecs", "id", "vec"), table(spark, root, "ingest_in", "documents"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return nearcopies.near_copy_pairs(table(spark, root, "records", "id", "text"))
 
@@ -35,7 +39,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

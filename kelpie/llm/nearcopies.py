@@ -29,14 +29,18 @@ from kelpie.functions.runs import whole_runs
 from kelpie.llm.words import WordHashes, mixed, runs_of, words
 from kelpie.session import written
 
-#: Buckets of the count tables of words and of triples: they have this size for any corpus (5 MB to each task).
-WORD_BUCKETS, TRIPLE_BUCKETS = 1 << 18, 1 << 20
+#: Buckets of the count table of words, for any corpus.
+WORD_BUCKETS = 1 << 18
+#: Least and most buckets of the count table of triples, of a byte each; in between there are some 32 for each text.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 26
 #: A piece of a count table that travels as one row.
-PIECE = 1 << 15
+PIECE = 1 << 16
 #: Classes of the hash space whose unions are the references.
 CLASSES = 64
 #: What a text must hold to have a triple at all.
 THREE_WORDS = r"(?s)[\p{L}\p{N}\p{M}](?:.*?[^\p{L}\p{N}\p{M}]+[\p{L}\p{N}\p{M}]){2}"
+#: Triples that a pair must share among its first ones (l above).
+SHARED = 4
 #: A triple that more texts share is compared in blocks through the pivot table instead of pair by pair.
 HOT = 64
 #: Texts in a block of a hot triple.
@@ -74,24 +78,33 @@ def _word_bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _triple_bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def _triple_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
-def count_tables(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of words and of triples in all texts, by bucket of their hash.
+def _add(total: np.ndarray, at: np.ndarray) -> None:
+    """Counts occurrences of places, saturating."""
+    at, n = np.unique(at, return_counts=True)
+    total[at] = np.minimum(total[at].astype(np.int64) + n, np.iinfo(total.dtype).max).astype(total.dtype)
+
+
+def count_tables(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of words and of triples in all texts, by bucket of their hash; those of triples saturate at 255.
 
     Each task adds up its own tables and sends them in compressed pieces; pieces are added up per place, so the driver
-    gets one table of fixed size, whatever the corpus.
+    gets tables of bounded size, whatever the corpus.
     """
+    word_pieces = WORD_BUCKETS * 8 // PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), np.zeros(WORD_BUCKETS + TRIPLE_BUCKETS, np.int64)
+        known = WordHashes()
+        of_words, of_triples = np.zeros(WORD_BUCKETS, np.int64), np.zeros(buckets, np.uint8)
         for batch in batches:
             t = Triples(batch.column(0).to_pylist(), known)
-            total[:WORD_BUCKETS] += np.bincount(_word_bucket(t.words), minlength=WORD_BUCKETS)
-            total[WORD_BUCKETS:] += np.bincount(_triple_bucket(t.hash), minlength=TRIPLE_BUCKETS)
-        pieces = [(k, zlib.compress(total[at : at + PIECE].tobytes(), 1)) for k, at in enumerate(range(0, len(total), PIECE)) if total[at : at + PIECE].any()]
+            _add(of_words, _word_bucket(t.words))
+            _add(of_triples, _triple_bucket(t.hash, buckets))
+        raw = np.concatenate([of_words.view(np.uint8), of_triples])
+        pieces = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(raw.reshape(-1, PIECE)) if part.any()]
         if pieces:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], names=["piece", "counts"])
 
@@ -99,16 +112,17 @@ def count_tables(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(counts), np.int64)
+                part = np.frombuffer(zlib.decompress(counts), np.int64 if k < word_pieces else np.uint8).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["piece", "counts"])
+            raw = [x.tobytes() if k < word_pieces else np.minimum(x, 255).astype(np.uint8).tobytes() for k, x in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x, 1) for x in raw], pa.binary())], names=["piece", "counts"])
 
     schema = "piece int, counts binary"
-    total = np.zeros(WORD_BUCKETS + TRIPLE_BUCKETS, np.int64)
+    raw = np.zeros(WORD_BUCKETS * 8 + buckets, np.uint8)
     for row in texts.select("text").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).toLocalIterator():
-        total[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return total[:WORD_BUCKETS], total[WORD_BUCKETS:]
+        raw[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
+    return raw[: WORD_BUCKETS * 8].view(np.int64), raw[WORD_BUCKETS * 8 :]
 
 
 def pivot_row(t: np.ndarray) -> np.ndarray:
@@ -122,44 +136,51 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, na, nb, s: float) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, s: float, hot: int) -> DataFrame:
-    """(c, g, h): the first triples of each text, c being the text's key and g the triple.
+    """(c, g, p, h): the first triples of each text: its key, the triple, and the text's size and the triple's place in it.
 
     The order: triples whose bucket isn't fuller than usual come first, by the rarity of their words; then the common
     ones by their bucket's count. Where one Arrow batch holds a triple more than ``hot`` times, it sends only hot + 1
     rows to the triple's group, enough to show that it is hot; for the others g is spread and h has the triple. So no
     group is ever large.
     """
-    word_count, triple_count = count_tables(texts)
-    usual = 64 + 4 * int(triple_count.sum()) // TRIPLE_BUCKETS
-    shared = texts.sparkSession.sparkContext.broadcast((np.log1p(word_count).astype(np.float32), np.maximum(triple_count - usual, 0).astype(np.float32)))
+    buckets = int(np.clip(1 << (32 * texts.count()).bit_length(), LEAST_BUCKETS, MOST_BUCKETS))
+    word_count, triple_count = count_tables(texts, buckets)
+    usual = 1 + round(2 * float(triple_count.mean()))
+    shared = texts.sparkSession.sparkContext.broadcast((np.log1p(word_count).astype(np.float32), np.maximum(triple_count, usual)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        rarity, excess = shared.value
+        rarity, common = shared.value
         for batch in batches:
             keys, t = batch.column(0).to_numpy(), Triples(batch.column(1).to_pylist(), known)
             if not len(t.hash):
                 continue
             by_word = rarity[_word_bucket(t.words)]
             weight = by_word[t.at] + by_word[t.at + 1] + by_word[t.at + 2]
-            order = np.lexsort((t.hash, weight, excess[_triple_bucket(t.hash)], t.doc))
-            first = t.size - np.ceil(s * t.size - 1e-9).astype(np.int64) + 1
+            order = np.lexsort((t.hash, weight, common[_triple_bucket(t.hash, buckets)], t.doc))
+            first = t.size - np.ceil(s * t.size - 1e-9).astype(np.int64) + SHARED
             rank = np.arange(len(order)) - t.start[t.doc]
-            kept = order[rank < first[t.doc]]
-            g, c = (t.hash[kept] >> np.uint64(16)).view(np.int64), keys[t.doc[kept]]
+            chosen = rank < first[t.doc]
+            kept, rank = order[chosen], rank[chosen]
+            g, c, p = (t.hash[kept] >> np.uint64(16)).view(np.int64), keys[t.doc[kept]], t.size[t.doc[kept]] << 32 | rank
             order = np.argsort(g, kind="stable")
             start = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]])
             spread = np.zeros(len(g), bool)
             spread[order] = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)])) > hot
             with np.errstate(over="ignore"):
                 to = np.where(spread, mixed((g + c).view(np.uint64)).view(np.int64), g)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(to), pa.array(g, mask=~spread)], names=["c", "g", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(to), pa.array(p), pa.array(g, mask=~spread)], names=["c", "g", "p", "h"])
 
-    return texts.mapInArrow(run, "c bigint, g bigint, h bigint")
+    return texts.mapInArrow(run, "c bigint, g bigint, p bigint, h bigint")
 
 
-def _grouped(prefixes: DataFrame, hot: int) -> DataFrame:
-    """(a, b, is_hot): pairs a < b of texts that share a triple; of a hot triple h, rows (h, c) instead."""
+def _grouped(prefixes: DataFrame, s: float, hot: int) -> DataFrame:
+    """(a, b, n, need): pairs a < b of texts and how many of their first triples they share, of how many they need.
+
+    A pair comes out only where what follows the triple in both texts can still hold the overlap the pair needs. That
+    is so at the first SHARED triples two texts share, if they are alike enough. Of a hot triple h come rows (h, c)
+    instead, with need 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -169,31 +190,35 @@ def _grouped(prefixes: DataFrame, hot: int) -> DataFrame:
                 big = pc.or_(pc.is_valid(batch.column("h")), pc.greater(batch.column("n"), hot))
                 if pc.any(big).as_py():
                     out = batch.filter(big)
-                    kept.append(rows(pc.coalesce(out.column("h"), out.column("g")), out.column("c"), 1))
+                    kept.append(rows(pc.coalesce(out.column("h"), out.column("g")), out.column("c"), np.zeros(out.num_rows, np.int64)))
                 yield batch.filter(pc.invert(big))
 
         for t in whole_runs(small(), ["g"]):
-            g, c = t["g"].to_numpy(), t["c"].to_numpy()
+            g, c, p = t["g"].to_numpy(), t["c"].to_numpy(), t["p"].to_numpy()
             order = np.lexsort((c, g))
-            g, c = g[order], c[order]
+            g, c, p = g[order], c[order], p[order]
             new = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
-            g, c = g[new], c[new]
+            g, c, size, left = g[new], c[new], p[new] >> 32, (p[new] >> 32) - (p[new] & 0xFFFFFFFF)
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             length = np.diff(np.r_[start, len(g)])
             for n in np.unique(length[length > 1]):
                 at = start[length == n]
                 i, j = np.triu_indices(n, 1)
-                pair = np.unique(np.stack([c[at[:, None] + i].ravel(), c[at[:, None] + j].ravel()], 1), axis=0)
-                yield rows(pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), 0)
+                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                overlap = np.ceil(s / (1 + s) * (size[i] + size[j]) - 1e-9).astype(np.int64)
+                need = np.minimum(overlap, SHARED)
+                fits = np.minimum(left[i], left[j]) >= overlap - need + 1
+                yield rows(pa.array(c[i[fits]]), pa.array(c[j[fits]]), need[fits])
             yield from kept
             kept.clear()
         yield from kept
 
-    def rows(a, b, is_hot):
-        return pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), is_hot, np.int32))], names=["a", "b", "is_hot"])
+    def rows(a, b, need):
+        return pa.RecordBatch.from_arrays([a, b, pa.array(need.astype(np.int32))], names=["a", "b", "need"])
 
     counted = prefixes.withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1 or h is not null")
-    return counted.mapInArrow(run, "a bigint, b bigint, is_hot int")
+    shared = counted.mapInArrow(run, "a bigint, b bigint, need int").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return shared.where("n >= need")
 
 
 def _rows_of_pivots(b: pa.Array) -> np.ndarray:
@@ -252,9 +277,9 @@ def _features(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def alike_texts(texts: DataFrame, similarity: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs a < b of keys c of different texts (c, text), whose distinct word triples have at least this Jaccard similarity."""
-    grouped = written(_grouped(_prefixes(texts, similarity, hot), hot).distinct(), "candidates")
-    near = grouped.where("is_hot = 0").select("a", "b")
-    members = grouped.where("is_hot = 1").select(F.col("a").alias("h"), F.col("b").alias("c"))
+    grouped = written(_grouped(_prefixes(texts, similarity, hot), similarity, hot), "candidates")
+    near = grouped.where("need > 0").select("a", "b")
+    members = grouped.where("need = 0").select(F.col("a").alias("h"), F.col("b").alias("c"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("c")).unionByName(members.select("c")).distinct()
     features = written(_features(texts, wanted), "features")
 

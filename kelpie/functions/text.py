@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -25,13 +26,13 @@ def fold_tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(folded(text)) if text else []
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """The folded text; null stays null."""
     return text.map(folded, na_action="ignore")
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def tokens(text: pd.Series) -> pd.Series:
     """The folded tokens in order, with repetitions; an empty list for null."""
     return pd.Series([fold_tokens(x) for x in text], dtype=object)

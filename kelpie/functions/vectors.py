@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,7 +36,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def fp16(vec: pd.Series) -> pd.Series:
     """Each number rounded to half precision, then the vector brought to unit length (length at least 1e-12)."""
 
@@ -56,7 +57,7 @@ def quantised(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def quantize(bits: int):
     """A UDF vec -> binary: two float32 (low, step), then the codes packed ``8 // bits`` to a byte. Null stays null."""
 
-    @pandas_udf("binary")
+    @pandas_udf(BinaryType())
     def run(vec: pd.Series) -> pd.Series:
         def one(v):
             codes, low, step = quantised(np.asarray(v, np.float32)[None], bits)

@@ -27,11 +27,11 @@ def sample(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(n)
 
 
-def train(vectors: DataFrame, nlist: int | None = None, dim: int = 64, seed: int = 0) -> np.ndarray:
+def train(vectors: DataFrame, nlist: int | None = None, dim: int = 64, seed: int = 0, least: int = LEAST_VECTORS) -> np.ndarray:
     """Unit centroids by ROUNDS of Lloyd's algorithm on a sample; NotEnoughVectors below the least numbers."""
     n = vectors.count()
     nlist = nlist or auto_nlist(n)
-    if n < LEAST_VECTORS or n < LEAST_PER_LIST * nlist:
+    if n < max(least, 1) or n < LEAST_PER_LIST * nlist:
         raise NotEnoughVectors(f"{n} vectors are too few for {nlist} lists")
     x = np.array(sample(vectors, TRAIN_SAMPLE, seed).select("vec").toArrow().column("vec").to_pylist(), np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

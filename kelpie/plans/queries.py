@@ -82,8 +82,19 @@ def scored(df: DataFrame, *more: str) -> DataFrame:
 
 # --- problem 1
 
-
-@query()
+_P1 = r"""WITH RECURSIVE i AS (SELECT DISTINCT * FROM ingest_in), d AS (SELECT ingest_id, unnest(documents) AS d, unnest(range(len(documents))) AS a FROM i),
+c AS (SELECT ingest_id, a, unnest(d.chunks) AS c, unnest(range(len(d.chunks))) AS b FROM d WHERE d IS NOT NULL),
+o AS (SELECT ingest_id, '/documents/' || a || '/summary' AS path, '/documents/' || a AS parent_path, d.summary.metadata AS m FROM d WHERE d IS NOT NULL AND d.summary IS NOT NULL
+ UNION ALL SELECT ingest_id, '/documents/' || a || '/chunks/' || b, '/documents/' || a, c.metadata FROM c WHERE c IS NOT NULL),
+s AS (SELECT ingest_id, path, CASE WHEN json_valid(m) THEN m END AS m FROM o
+ UNION ALL SELECT ingest_id, path, CASE WHEN json_valid(json_extract_string(m, '$')) THEN json_extract_string(m, '$') END FROM s WHERE json_type(m) = 'VARCHAR'),
+t AS (SELECT s.ingest_id, s.path AS base, t.id, t.parent, t.key, t.type FROM s, json_tree(s.m) t WHERE json_type(s.m) IN ('OBJECT', 'ARRAY')),
+p AS (SELECT ingest_id, base, id, type, base || '/metadata' AS path, base AS parent_path FROM t WHERE parent IS NULL
+ UNION ALL SELECT t.ingest_id, t.base, t.id, t.type, p.path || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), CASE WHEN p.type = 'OBJECT' THEN p.path ELSE p.parent_path END FROM p JOIN t ON t.ingest_id = p.ingest_id AND t.base = p.base AND t.parent = p.id)
+SELECT ingest_id, '/documents/' || a AS path, '' AS parent_path FROM d WHERE d IS NOT NULL UNION SELECT ingest_id, path, parent_path FROM o UNION SELECT ingest_id, path, parent_path FROM p WHERE type = 'OBJECT'"""
+
+
+@query(_P1)
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return shred.nested_objects(table(spark, root, "ingest_in", "ingest_id", "documents"), with_fields=False).select("ingest_id", "path", "parent_path")
 
@@ -182,7 +193,7 @@ def fn_trigram(spark: SparkSession, root: str) -> DataFrame:
     return own.select(F.explode(text.trigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {S.R}, m AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM r) SELECT id, coalesce(chr(10) || json_extract_string(m, '$.title'), '') || coalesce(chr(10) || array_to_string(list_filter(json_extract_string(m, '$.tags[*]'), lambda x: x IS NOT NULL), ' '), '') AS suffix FROM (SELECT id, m FROM m WHERE coalesce(json_type(m, '$.tags'), 'ARRAY') = 'ARRAY' AND json_exists(m, '$.tags')) UNION ALL SELECT id, coalesce(chr(10) || json_extract_string(m, '$.title'), '') FROM m WHERE m IS NULL OR NOT json_exists(m, '$.tags')")
 def fn_ftsmeta(spark: SparkSession, root: str) -> DataFrame:
     return records(spark, root, "id", "metadata").select("id", meta.fts_suffix(["title", "tags"])(F.col("metadata")).alias("suffix"))
 

@@ -3,8 +3,9 @@
 A record is a tree of objects, arrays and scalars in which everything is optional. ``shred`` turns it into one column
 for each leaf path. A column has an entry for every slot its path has in the record, with two levels:
 
-* the *definition level* counts how much of the path exists at this slot. Each key and each array element adds one
-  when it is there, and an array adds one more for having the slot at all, so null elements keep their place;
+* the *definition level* counts how much of the path exists at this slot: each object on it adds one, each array one
+  for not being absent and one for having an element there, the value at the end one. So null elements and empty
+  arrays keep their place;
 * the *repetition level* tells at which array of the path the entry continues; 0 starts the record.
 
 ``objects`` rebuilds, from the levels alone, one flat table for each path that holds objects: an object stands where

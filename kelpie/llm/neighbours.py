@@ -15,6 +15,7 @@ than another one.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.session import written
+
 #: Vectors of which the partition and its classifier are learned: a bound on the driver's work and memory.
 SAMPLE = 16_384
 #: Vectors of the collection for each part, and the largest number of parts.
 PART_SIZE, MOST_PARTS = 640, 4096
 #: Most parts of a vector, and the probability at which it needs no further part.
-PROBES, CERTAIN = 2, 0.99
+PROBES, CERTAIN = 2, 0.97
 #: Vectors in a block; a part with more is compared block against block, each couple of blocks in a task of its own.
 BLOCK = 6000
 #: Neighbours in the sample's graph, and rounds of refinement of a bisection.
@@ -143,9 +146,22 @@ def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def learned(vectors: DataFrame, sample: int = SAMPLE, part_size: int = PART_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """(router weights, blocks by part) from a sample of distinct vectors of (key, vec, h)."""
-    n = vectors.agg(F.approx_count_distinct("h")).first()[0]
+def identities(rows: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each coded vector."""
+    return np.array([int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in rows], np.int64)
+
+
+def _entries(near: bytes) -> Iterator[str]:
+    """Seven digits of the distance from similarity 1, then the key: sorted as text, the nearest come first."""
+    at = 0
+    while at < len(near):
+        end = at + 6 + int.from_bytes(near[at + 3 : at + 6], "big")
+        yield f"{int.from_bytes(near[at : at + 3], 'big'):07d}{near[at + 6 : end].decode()}"
+        at = end
+
+
+def learned(vectors: DataFrame, n: int, sample: int = SAMPLE, part_size: int = PART_SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """(router weights, blocks by part) from a sample of the ``n`` distinct vectors of (key, vec, h)."""
     if not n:
         return np.zeros((1, 1), np.float32), np.ones(1, np.int64)
     share = min(1.0, 1.25 * sample / n)
@@ -173,25 +189,28 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
     routed to; ties are resolved by key there.
     """
     rows = vectors.select("key", "vec").where(F.col("key").isNotNull() & usable(F.col("vec"), dim)).withColumn("vec", F.col("vec").cast("array<float>")).withColumn("h", F.xxhash64("vec"))
-    weights, blocks = learned(rows, sample, part_size)
+    n, most = rows.groupBy("h").count().agg(F.count("*"), F.max("count")).first()
+    weights, blocks = learned(rows, n, sample, part_size)
     shared = rows.sparkSession.sparkContext.broadcast((weights, blocks))
     keep = k + 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed(x), pa.binary())], names=["h", "key", "enc"])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed(x), pa.binary())], names=["key", "enc"])
 
-    ranked = rows.select("h", "key", "vec").mapInArrow(pack, "h bigint, key string, enc binary").withColumn("r", F.dense_rank().over(Window.partitionBy("enc").orderBy("key")))
-    distinct = ranked.where(F.col("r") <= keep).groupBy("enc").agg(F.first("h").alias("h"), F.sort_array(F.collect_set("key")).alias("keys"))
+    coded = rows.select("key", "vec").mapInArrow(pack, "key string, enc binary")
+    ranked = coded.withColumn("r", F.dense_rank().over(Window.partitionBy("enc").orderBy("key")))
+    distinct = ranked.where(F.col("r") <= keep).groupBy("enc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, blocks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 b = batch.slice(at, 4000)
-                row, part = route(unit(unpacked(b.column("enc").to_pylist(), dim)), weights, probes, certain)
-                h = b.column("h").to_numpy()
+                enc = b.column("enc").to_pylist()
+                row, part = route(unit(unpacked(enc, dim)), weights, probes, certain)
+                h = identities(enc)
                 n = blocks[part]
                 own = (h[row].astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)
                 one = n == 1
@@ -204,19 +223,19 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
                         rows_.append(row[rep]), parts_.append(part[rep]), qs.append(q), is_.append(i), roles.append(np.full(len(rep), role))
                 out = b.take(pa.array(np.concatenate(rows_)))
                 ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (parts_, qs, is_, roles)]
-                yield pa.RecordBatch.from_arrays([*ints, out.column("h"), out.column("enc"), out.column("keys")], names=["part", "q", "i", "role", "h", "enc", "keys"])
+                yield pa.RecordBatch.from_arrays([*ints, out.column("enc"), out.column("keys")], names=["part", "q", "i", "role", "enc", "keys"])
 
-    schema = "part int, q int, i int, role int, h bigint, enc binary, keys array<string>"
+    schema = "part int, q int, i int, role int, enc binary, keys array<string>"
 
     def search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         role = t.column("role").to_numpy()
-        x = unit(unpacked(t.column("enc").to_pylist(), dim))
-        keys = t.column("keys").to_pylist()
+        enc = t.column("enc").to_pylist()
+        x, h = unit(unpacked(enc, dim)), identities(enc)
+        keys = [[key.encode() for key in own] for own in t.column("keys").to_pylist()]
         queries, index = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-        h = t.column("h").to_numpy()
         small = x[index].astype(np.float32).T.copy()
-        found: list[list[dict]] = []
+        found: list[bytes] = []
         kth = min(k, len(index) - 1)
         for at in range(0, len(queries), 512):
             q = queries[at : at + 512]
@@ -227,28 +246,42 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
                 a, b = np.nonzero((s >= bar[:, None] - 2e-6) & (s > -2))
             else:
                 a, b = np.nonzero(s > -2)
-            sim = -np.rint(np.einsum("ij,ij->i", x[q[a]], x[index[b]]) * 1e6).astype(np.int64)
+            sim = 1_000_000 - np.rint(np.einsum("ij,ij->i", x[q[a]], x[index[b]]) * 1e6).astype(np.int64)
             start = np.searchsorted(a, np.arange(len(q) + 1))
             b, sim = index[b].tolist(), sim.tolist()
             for j in range(len(q)):
                 near = sorted((sim[m], key) for m in range(start[j], start[j + 1]) for key in keys[b[m]])
-                found.append([{"s": s_, "k": key} for s_, key in near[:keep]])
-        near_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.string())]))
-        return pa.table({"h": pa.array(h[queries]), "keys": t.column("keys").take(pa.array(queries)), "near": pa.array(found, near_type)})
+                found.append(b"".join([max(far, 0).to_bytes(3, "big") + len(key).to_bytes(3, "big") + key for far, key in near[:k]]))
+        return pa.table({"h": pa.array(h[queries]), "keys": t.column("keys").take(pa.array(queries)), "near": pa.array(found, pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [sorted({entry for part in parts for entry in _entries(part)})[:k] for parts in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.string()))], names=["h", "keys", "near"])
 
-    parts = distinct.mapInArrow(routed, schema).groupBy("part", "q", "i").applyInArrow(search, "h bigint, keys array<string>, near array<struct<s:int,k:string>>")
-    merged = parts.groupBy("h").agg(F.first("keys").alias("keys"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    parts = distinct.mapInArrow(routed, schema).groupBy("part", "q", "i").applyInArrow(search, "h bigint, keys array<string>, near binary")
+    lists = parts.groupBy("h").agg(F.first("keys").alias("keys"), F.collect_list("near").alias("near"))
+    merged = lists.mapInArrow(merge, "h bigint, keys array<string>, near array<string>")
 
     def best(key: Column, keys: Column, near: Column) -> Column:
-        own = F.transform(F.filter(keys, lambda x: x != key), lambda x: F.struct(F.lit(-1_000_000).alias("s"), x.alias("k")))
-        others = F.filter(near, lambda x: x["k"] != key)
+        own = F.transform(F.filter(keys, lambda x: x != key), lambda x: F.concat(F.lit("0000000"), x))
+        others = F.filter(near, lambda x: F.substring(x, 8, 2**31 - 1) != key)
         return F.slice(F.array_sort(F.array_distinct(F.concat(own, others))), 1, k)
 
-    near = merged.select("h", "keys", "near")
-    first = near.select(F.explode("keys").alias("key"), "keys", "near")
-    beyond = near.where(F.size("keys") > k).select("h", "keys", "near").join(rows.select("h", "key"), "h").where(F.col("key") > F.element_at("keys", -1)).select("key", "keys", "near")
-    all_keys = first.unionByName(beyond).select("key", F.explode(best(F.col("key"), F.col("keys"), F.col("near"))).alias("n"))
-    return all_keys.select("key", F.col("n.k").alias("neighbour"), (-F.col("n.s") / F.lit(1e6)).alias("similarity"))
+    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(identities(b.column(1).to_pylist())), b.column(0)], names=["h", "key"])
+
+    crowded = bool(n) and most > keep
+    if crowded:  # some vector has more keys than were carried along: they get its neighbours too
+        merged = written(merged, "neighbours")
+    each = merged.select(F.explode("keys").alias("key"), "keys", "near")
+    if crowded:
+        beyond = merged.where(F.size("keys") > k).join(coded.mapInArrow(identify, "h bigint, key string").distinct(), "h").where(F.col("key") > F.element_at("keys", -1))
+        each = each.unionByName(beyond.select("key", "keys", "near"))
+    all_keys = each.select("key", F.explode(best(F.col("key"), F.col("keys"), F.col("near"))).alias("n"))
+    far = F.substring("n", 1, 7).cast("int")
+    return all_keys.select("key", F.substring("n", 8, 2**31 - 1).alias("neighbour"), ((1_000_000 - far) / F.lit(1e6)).alias("similarity"))
 
 
 def stored_and_arriving(vecs: DataFrame, ingest: DataFrame) -> DataFrame:

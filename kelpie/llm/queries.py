@@ -42,5 +42,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
+_P2 = r"""WITH i AS (SELECT unnest(documents) AS d FROM ingest_in), c AS (SELECT unnest(d.chunks) AS c FROM i),
+a AS (SELECT id::VARCHAR AS key, vec FROM vecs UNION ALL SELECT d.doc_id, d.summary.vector FROM i UNION ALL SELECT c.id, c.vector FROM c),
+v AS (SELECT key, any_value(vec::DOUBLE[]) AS vec FROM a WHERE key IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY key),
+u AS (SELECT key, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec)))::DOUBLE[64] AS vec FROM v),
+s AS (SELECT q.key, x.key AS other, round(array_inner_product(q.vec, x.vec), 6) AS s FROM u q, u x WHERE q.key <> x.key),
+k AS (SELECT key, unnest(min_by(other, (-s, other), 5)) AS other FROM s GROUP BY key)
+SELECT DISTINCT least(key, other) AS key_a, greatest(key, other) AS key_b FROM k"""
+
+_P3 = r"""WITH r AS (SELECT DISTINCT id, text FROM records WHERE length(text) >= 200), w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM r),
+t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM w WHERE len(w) > 2), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * s >= x.n + y.n - s"""
+
+_P4 = r"""WITH r AS (SELECT DISTINCT id, text FROM records WHERE text IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}]')), n AS (SELECT count(DISTINCT id) AS n FROM r),
+t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+')) AS term FROM r) GROUP BY id, term), d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
+SELECT id, term FROM t JOIN d USING (term), n WHERE tf >= 2 AND length(term) >= 3 AND (1 + ln(tf)) * ln(n / df) >= (1 + ln(3)) * ln(n / 5.5::DOUBLE) - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that compares all vectors, all pairs with a common triple, and all terms; for the others SQL lacks the means."""
+    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4}

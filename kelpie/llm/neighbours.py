@@ -84,9 +84,11 @@ def balanced_parts(x: np.ndarray, parts: int) -> np.ndarray:
     graph = neighbour_graph(x.astype(np.float32), GRAPH_K)
     part = np.zeros(len(x), np.int64)
     for _ in range(int(math.log2(parts))):
-        for p in range(part.max() + 1):
-            rows = np.flatnonzero(part == p)
-            part[rows] = 2 * p + (bisect(x, graph, rows) if len(rows) > 1 else np.zeros(len(rows), bool))
+        halves = np.zeros(len(x), np.int64)
+        for rows in np.split(np.argsort(part, kind="stable"), np.flatnonzero(np.diff(np.sort(part))) + 1):
+            if len(rows) > 1:
+                halves[rows] = bisect(x, graph, rows)
+        part = 2 * part + halves
     return part
 
 

@@ -74,13 +74,15 @@ GERMAN_MONTHS = "Januar Jänner Februar März April Mai Juni Juli August Septemb
 FULL_WIDTH = "。！？｡．"
 NEEDS_BLANK = ".!?…‼⁇⁈⁉।॥؟۔።፧፨"
 CLOSERS = "\"'”’»›)]}」』）】》〉〕］｝“‘"
+#: Without blanks a quotation mark that may also open one opens the next sentence.
+CLOSERS_WIDE = "\"'”’»›)]}」』）】》〉〕］｝"
 EMOJI = r"(?:[\p{Extended_Pictographic}\p{RI}--[\d#*©®™‼⁉]][︎️\U0001F3FB-\U0001F3FF]*(?:‍\p{Extended_Pictographic}[︎️\U0001F3FB-\U0001F3FF]*)*)"
 INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠㅤﾠ]")
 _V1 = regex.V1
 
 UNIT_END = regex.compile(r"(?:\r\n|[\n\r ])\s*?(?:\r\n|[\n\r ])\s*", _V1)
 LIST_MARK = regex.compile(r"(?:[-–—*•·‣▪]|[(（]?(?:\p{Nd}{1,3}|\p{Ll}|[ivxIVX]{1,4})[.)）]|[一二三四五六七八九十]{1,3}、)\s+", _V1)
-SPACE_PLACE = regex.compile(rf"[{regex.escape(NEEDS_BLANK)}{FULL_WIDTH}]+(?:[{regex.escape(CLOSERS)}*_~`]|(?<=[!?…»])\s(?=»))*(?:[^\S\n]*{EMOJI})*(?=\s|\Z)|[{FULL_WIDTH}]+[{regex.escape(CLOSERS)}]*(?:[^\S\n]*{EMOJI})*", _V1)
+SPACE_PLACE = regex.compile(rf"[{regex.escape(NEEDS_BLANK)}{FULL_WIDTH}]+(?:[{regex.escape(CLOSERS)}*_~`]|(?<=[!?…»])\s(?=»))*(?:[^\S\n]*{EMOJI})*(?=\s|\Z)|[{FULL_WIDTH}]+[{regex.escape(CLOSERS_WIDE)}]*(?:[^\S\n]*{EMOJI})*", _V1)
 GREEK_PLACE = regex.compile(rf"(?:{SPACE_PLACE.pattern})|[;;][{regex.escape(CLOSERS)}]*(?:[^\S\n]*{EMOJI})*(?=\s|\Z)", _V1)
 THAI_PLACE = regex.compile(r"[^\S\r\n]+", _V1)
 

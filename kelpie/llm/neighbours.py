@@ -29,7 +29,7 @@ from kelpie.session import written
 #: Vectors of which the partition and its classifier are learned: a bound on the driver's work and memory.
 SAMPLE = 16_384
 #: Vectors of the collection for each part, and the largest number of parts.
-PART_SIZE, MOST_PARTS = 640, 4096
+PART_SIZE, MOST_PARTS = 1280, 4096
 #: Most parts of a vector, and the probability at which it needs no further part.
 PROBES, CERTAIN = 2, 0.97
 #: Vectors in a block; a part with more is compared block against block, each couple of blocks in a task of its own.

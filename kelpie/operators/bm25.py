@@ -101,28 +101,28 @@ def full_score(queries: DataFrame, candidates: DataFrame, tokenised: DataFrame,
     other in the query, with the mean of their idf. Candidates without any token score 0 (left out if
     ``positive_only``).
     """
-    terms = query_terms(queries).select("qid", "term")
     df = document_frequencies(tokenised)
     stats = filled_stats(tokenised)
-    weight = terms.join(df, "term", "left").na.fill(0, ["df"]).join(F.broadcast(stats)).select("qid", "term", idf(F.col("df"), F.col("total")).alias("idf"), "avgdl")
-    weight = weight.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.first("avgdl").alias("avgdl"))
-    pairs = queries.select("qid", F.array_distinct(F.filter(_pairs_of(F.slice(tokens(F.col("qtext")), 1, MOST_TOKENS)), lambda p: p["a"] != p["b"])).alias("qpairs"))
-    own = candidates.select("qid", "id").distinct().join(tokenised, "id").join(weight, "qid").join(pairs, "qid")
-    dl = F.greatest(F.lit(1), F.col("dl"))
-
-    def sat(tf: Column) -> Column:
-        return saturation(tf, dl, F.col("avgdl"))
-
-    own = own.withColumn("tpairs", _pairs_of(F.col("tokens")))
-    single = F.aggregate(F.map_entries("idf"), F.lit(0.0), lambda s, e: s + e["value"] * sat(F.size(F.filter(F.col("tokens"), lambda t: t == e["key"]))))
-    double = F.aggregate(
-        "qpairs", F.lit(0.0),
-        lambda s, p: s + (F.element_at("idf", p["a"]) + F.element_at("idf", p["b"])) / 2 * sat(F.size(F.filter(F.col("tpairs"), lambda t: t == p))),
-    )
-    scored = own.select("qid", "id", (single + PAIR_WEIGHT * double).alias("score"))
+    weight = query_terms(queries).select("qid", "term").join(df, "term", "left").na.fill(0, ["df"]).join(F.broadcast(stats)).select("qid", "term", idf(F.col("df"), F.col("total")).alias("idf"), "avgdl")
+    follows = queries.select("qid", F.explode(F.array_distinct(F.filter(_pairs_of(F.slice(tokens(F.col("qtext")), 1, MOST_TOKENS)), lambda p: p["a"] != p["b"]))).alias("p")).select("qid", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    first, second = (weight.select("qid", F.col("term").alias(x), F.col("idf").alias(f"idf_{x}"), *(["avgdl"] if x == "a" else [])) for x in ("a", "b"))
+    pair_weight = follows.join(first, ["qid", "a"]).join(second, ["qid", "b"]).select("qid", "a", "b", ((F.col("idf_a") + F.col("idf_b")) / 2).alias("idf"), "avgdl")
+    members = candidates.select("qid", "id").distinct()
+    own = members.join(tokenised, "id")
+    by_term = own.select("qid", "id", "dl", F.explode("tokens").alias("term")).join(weight, ["qid", "term"]).groupBy("qid", "id", "term").agg(*_once(F.lit(1.0)))
+    pairs = own.select("qid", "id", "dl", F.explode(_pairs_of(F.col("tokens"))).alias("p")).select("qid", "id", "dl", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    by_pair = pairs.join(pair_weight, ["qid", "a", "b"]).groupBy("qid", "id", "a", "b").agg(*_once(F.lit(PAIR_WEIGHT)))
+    parts = by_term.select("qid", "id", "part").unionByName(by_pair.select("qid", "id", "part")).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    scored = members.join(parts, ["qid", "id"], "left").na.fill(0.0, ["score"])
     return ranked(scored.where("score > 0") if positive_only else scored, k, F.col("id").asc())
 
 
+def _once(weight: Column) -> list[Column]:
+    """What one term or pair adds to one candidate, from its rows."""
+    dl = F.greatest(F.lit(1), F.first("dl"))
+    return [(weight * F.first("idf") * saturation(F.count("*"), dl, F.first("avgdl"))).alias("part")]
+
+
 def candidates(queries: DataFrame, tokenised: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id): the best records by the kept tokens, and the first ones by id that hold all tokens of the query."""
     prune = pruned_terms(queries, tokenised)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.scalars import auto_nlist
 from kelpie.functions.vectors import cosine, usable
-from kelpie.operators.vector import ranked
+from kelpie.operators.vector import QUERY_BYTES, ranked
 
 #: Vectors the centroids are trained on (a bound on the driver's work), rounds, default lists probed by a query.
 TRAIN_SAMPLE, ROUNDS, NPROBE = 65_536, 8, 16
@@ -69,16 +69,56 @@ def probed(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> Da
     return ranked(scored, nprobe, F.col("list_id").asc()).select("qid", "list_id")
 
 
-def search(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = NPROBE, allowed: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = NPROBE, allowed: DataFrame | None = None, dim: int = 64) -> DataFrame:
     """(qid, id, score, rank) within the probed lists.
 
-    The join on list_id prunes the partitions of a table that is written by list. With nprobe at the number of lists
-    it is the exact search.
+    Queries and their lists go to every task in blocks of bounded size; vectors are never shuffled, and of a table that
+    is written by list only the probed partitions are read. With nprobe at the number of lists it is the exact search.
     """
-    wanted = probed(queries, centroids, nprobe)
+    asks = queries.where(usable(F.col("vec"), dim)).select("qid", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["qid"])
+    wanted = probed(asks, centroids, nprobe)
     rows = lists if allowed is None else lists.join(allowed.select("id").distinct(), "id", "left_semi")
-    found = rows.join(wanted, "list_id").join(queries.select("qid", F.col("vec").alias("qvec")), "qid")
-    return ranked(found.select("qid", "id", cosine(F.col("qvec"), F.col("vec")).alias("score")), k, F.col("id").asc())
+    blocks = max(1, -(-asks.count() * (8 * dim + 8 * nprobe) // QUERY_BYTES))
+    out = None
+    for block in range(blocks):
+        mine = F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block
+        found = _probe_block(asks.where(mine), wanted.where(mine), rows, k, dim)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k, F.col("id").asc())
+
+
+def _probe_block(queries: DataFrame, wanted: DataFrame, lists: DataFrame, k: int, dim: int) -> DataFrame:
+    """(qid, id, score): the k best of each task, by one product for each list in a batch and the queries that probe it."""
+    got = queries.orderBy("qid").toArrow()
+    qids = got.column("qid").to_numpy().astype(np.int64)
+    q = np.array(got.column("vec").to_pylist(), np.float64).reshape(-1, dim)
+    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
+    probes = wanted.toArrow()
+    by_list: dict[int, list[int]] = {}
+    for place, one in zip(np.searchsorted(qids, probes.column("qid").to_numpy()), probes.column("list_id").to_pylist()):
+        by_list.setdefault(one, []).append(int(place))
+    shared = queries.sparkSession.sparkContext.broadcast((qids, q, {one: np.array(sorted(p)) for one, p in by_list.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, by_list = shared.value
+        best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            ids, of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for one in np.unique(of):
+                asking, rows = by_list.get(int(one)), np.flatnonzero(of == one)
+                if asking is None:
+                    continue
+                s = np.concatenate([best_s[asking], q[asking] @ x[rows].T], 1)
+                i = np.concatenate([best_i[asking], np.broadcast_to(ids[rows], (len(asking), len(rows)))], 1)
+                order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+                best_s[asking], best_i[asking] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        row, place = np.nonzero(np.isfinite(best_s))
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, place]), pa.array(best_s[row, place])], names=["qid", "id", "score"])
+
+    some = lists.where(F.col("list_id").isin(sorted(by_list))) if len(by_list) <= 4096 else lists
+    return some.select(F.col("id").cast("bigint"), "list_id", F.col("vec").cast("array<double>")).mapInArrow(run, "qid bigint, id bigint, score double").distinct()
 
 
 def search_few(queries: DataFrame, lists: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:

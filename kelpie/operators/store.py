@@ -206,5 +206,5 @@ class Collection:
         late = live.join(lists.select("id"), "id", "left_anti")
         from kelpie.operators.vector import ranked, top_k
 
-        old = ivf.search(queries, lists, centroids, k, nprobe or index["nprobe"], allowed=live)
+        old = ivf.search(queries, lists, centroids, k, nprobe or index["nprobe"], live, self.options.dim)
         return ranked(old.unionByName(top_k(queries, late, k, self.options.dim)).drop("rank"), k, F.col("id").asc())

@@ -126,8 +126,8 @@ def test_all_lists_probed_is_exact_search(spark):
     lists, table = ivf.assign(df, centroids, 16), ivf.centroid_table(df, centroids)
     asks = df.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec")
     exact = {(r.qid, r.id) for r in vector.top_k(asks, df, 5, 16).collect()}
-    assert {(r.qid, r.id) for r in ivf.search(asks, lists, table, 5, 8).collect()} == exact
-    some = ivf.search(asks, lists, table, 5, 4)
+    assert {(r.qid, r.id) for r in ivf.search(asks, lists, table, 5, 8, dim=16).collect()} == exact
+    some = ivf.search(asks, lists, table, 5, 4, dim=16)
     assert corpus.recall(some, vector.top_k(asks, df, 5, 16)).first().recall > 0.5
     few = df.where("id < 40").select("id")
     assert {(r.qid, r.id) for r in ivf.search_few(asks, lists, few, 5).collect()} == {(r.qid, r.id) for r in vector.top_k(asks, df.where("id < 40"), 5, 16).collect()}

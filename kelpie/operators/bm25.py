@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.scalars import PAIR_WEIGHT, idf, saturation
+from kelpie.functions.scalars import K1, PAIR_WEIGHT, B, idf, saturation
 from kelpie.functions.text import bm25_text, substring_count, tokens
 from kelpie.operators.vector import ranked
 
 #: Tokens of a query that count, and the pruning budget: records that kept tokens may touch, as a share and at least.
 MOST_TOKENS, BUDGET_SHARE, BUDGET_LEAST = 100, 0.02, 1000
+#: Queries whose weights go to the tasks at once: terms x queries doubles, 100 x 128 x 128 x 8 bytes at most.
+QUERIES_AT_ONCE = 128
 #: Candidates of the first stage: ranked ones, and unranked ones that hold all tokens.
 RANKED_CANDIDATES, ALL_CANDIDATES = 500, 1000
 
@@ -57,19 +63,72 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def single_stage(queries: DataFrame, tokenised: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) by BM25 over all records; a token the query repeats counts as often.
 
-    Only postings of query terms survive the first join. N and the mean length count every record; ``allowed`` (id)
-    restricts the hits, not the statistics. Records without a query token are no hits; blank and null queries have
-    none. Ties by id.
+    N and the mean length count every record; ``allowed`` (id) restricts the hits, not the statistics. Records without
+    a query token are no hits; blank and null queries have none. Ties by id.
+
+    The weights of a block of QUERIES_AT_ONCE queries, at most MOST_TOKENS terms each, go to every task, which scores
+    its records batch by batch as a product of record and query weights and passes on its k best. Postings are never
+    shuffled, so a term that a third of all records hold costs no more than another; further queries make further
+    blocks, each a scan of its own.
     """
     terms = query_terms(queries)
     df = document_frequencies(tokenised).join(terms.select("term").distinct(), "term", "left_semi")
-    found = postings(tokenised).join(terms.join(df, "term"), "term")
-    if allowed is not None:
-        found = found.join(allowed.select("id").distinct(), "id", "left_semi")
     stats = corpus_stats(tokenised)  # a single row
-    part = F.col("qtf") * idf(F.col("df"), F.col("total")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = found.join(F.broadcast(stats)).select("qid", "id", part.alias("part")).groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    return ranked(scored, k, F.col("id").asc())
+    weights = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf(F.col("df"), F.col("total"))).alias("w"), "avgdl")
+    n = queries.select("qid").distinct().count()
+    blocks = max(1, -(-n // QUERIES_AT_ONCE))
+    rows = tokenised if allowed is None else tokenised.join(allowed.select("id").distinct(), "id", "left_semi")
+    out = None
+    for got in _blocks(weights, blocks):
+        found = _score_block(got, rows, k)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k, F.col("id").asc())
+
+
+def _blocks(weights: DataFrame, blocks: int) -> Iterator[pa.Table]:
+    if blocks == 1:
+        yield weights.toArrow()
+        return
+    for block in range(blocks):
+        yield weights.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+
+
+def _score_block(weights: pa.Table, tokenised: DataFrame, k: int) -> DataFrame:
+    qids = np.unique(weights.column("qid").to_numpy().astype(np.int64)) if weights.num_rows else np.empty(0, np.int64)
+    words = sorted(set(weights.column("term").to_pylist()))
+    place = {t: i for i, t in enumerate(words)}
+    w = np.zeros((len(words), len(qids)))
+    if weights.num_rows:
+        w[[place[t] for t in weights.column("term").to_pylist()], np.searchsorted(qids, weights.column("qid").to_numpy())] = weights.column("w").to_numpy()
+    avgdl = weights.column("avgdl")[0].as_py() if weights.num_rows else 1.0
+    shared = tokenised.sparkSession.sparkContext.broadcast((qids, place, w, avgdl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, place, w, avgdl = shared.value
+        best_s, best_i = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(qids) else 0, 2000):
+                batch = whole.slice(at, 2000)
+                ids, lists, dl = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy().astype(np.float64)
+                term = np.array([place.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+                doc = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                cell, tf = np.unique(doc[term >= 0] * len(w) + term[term >= 0], return_counts=True)
+                if not len(cell):
+                    continue
+                doc, term = cell // len(w), cell % len(w)
+                sat = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                s = np.add.reduceat(w[term] * sat[:, None], start, axis=0).T
+                s[s <= 0] = -np.inf
+                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids[doc[start]], (len(qids), len(start)))], 1)
+                if k < s.shape[1]:
+                    order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                best_s, best_i = s, i
+        row, column = np.nonzero(np.isfinite(best_s))
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, column]), pa.array(best_s[row, column])], names=["qid", "id", "score"])
+
+    return tokenised.select(F.col("id").cast("bigint"), "tokens", "dl").mapInArrow(run, "qid bigint, id bigint, score double")
 
 
 def pruned_terms(queries: DataFrame, tokenised: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kelpie.functions.scalars import K1, PAIR_WEIGHT, B, idf, saturation
 from kelpie.functions.text import bm25_text, substring_count, tokens
 from kelpie.operators.vector import ranked
+from kelpie.session import written
 
 #: Tokens of a query that count, and the pruning budget: records that kept tokens may touch, as a share and at least.
 MOST_TOKENS, BUDGET_SHARE, BUDGET_LEAST = 100, 0.02, 1000
@@ -188,8 +189,10 @@ def candidates(queries: DataFrame, tokenised: DataFrame, allowed: DataFrame | No
     kept = prune.where("kept").select("qid", "term")
     text = kept.groupBy("qid").agg(F.array_join(F.collect_list("term"), " ").alias("qtext"))
     any_of = single_stage(text, tokenised, RANKED_CANDIDATES, allowed).select("qid", "id")
-    need = prune.groupBy("qid").agg(F.count("*").alias("need"))
-    hits = postings(tokenised).join(prune.where("df > 0").select("qid", "term"), "term").groupBy("qid", "id").agg(F.count("*").alias("has")).join(need, "qid").where("has = need")
+    # a record that holds all tokens holds the rarest: only its records are looked at
+    whole = prune.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.min_by("term", F.struct("df", "pos")).alias("term"), F.min("df").alias("df")).where("df > 0")
+    having = tokenised.select("id", F.explode(F.array_distinct("tokens")).alias("term")).join(whole, "term").select("qid", "id", "terms")
+    hits = having.join(tokenised.select("id", "tokens"), "id").where(F.size(F.array_except("terms", "tokens")) == 0).select("qid", "id")
     if allowed is not None:
         hits = hits.join(allowed.select("id").distinct(), "id", "left_semi")
     w = Window.partitionBy("qid").orderBy("id")
@@ -199,7 +202,7 @@ def candidates(queries: DataFrame, tokenised: DataFrame, allowed: DataFrame | No
 
 def two_stage(queries: DataFrame, tokenised: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """Candidates by the kept tokens, then the full score over them."""
-    return full_score(queries, candidates(queries, tokenised, allowed), tokenised, k)
+    return full_score(queries, written(candidates(queries, tokenised, allowed), "candidates"), tokenised, k)
 
 
 def direct(queries: DataFrame, tokenised: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:

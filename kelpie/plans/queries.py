@@ -16,6 +16,7 @@ from kelpie.functions import metadata as meta
 from kelpie.functions import scalars, text, vectors
 from kelpie.operators import bm25, corpus, expand, filters, fusion, ivf, listing, shred, vector, writes
 from kelpie.plans import sqlparts as S
+from kelpie.session import written
 from kelpie.sources import embed, ingest
 from kelpie.sources.tables import table
 
@@ -68,7 +69,8 @@ def text_queries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, root: str) -> DataFrame:
-    return bm25.tokenised(records(spark, root, "id", "text"))
+    """The token table, folded and cut once and read back: operators scan it several times."""
+    return written(bm25.tokenised(records(spark, root, "id", "text")), "tokens")
 
 
 def lists_of(v: DataFrame) -> np.ndarray:

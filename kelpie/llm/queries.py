@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return distinctive.standing_out(table(spark, root, "records", "id", "text"))
+    return distinctive.standing_out(table(spark, root, "records", "id", "text")).select("id", "term")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

@@ -178,6 +178,14 @@ def test_standing_out(spark):
     assert distinctive.standing_out(texts_frame(spark, [(1, None)])).count() == 0
 
 
+def test_one_long_record_hides_no_case(spark):
+    rows = [(i, "filler") for i in range(3000)]
+    rows[0], rows[1] = (0, "rare " * 3), (1, "rare " * 40)
+    rows[2:7] = [(i, "seldom " * n) for i, n in zip(range(2, 7), (3, 3, 3, 3, 200))]
+    got = {(r.id, r.term) for r in distinctive.standing_out(texts_frame(spark, rows)).collect()}
+    assert got == brute_distinctive(rows) == {(0, "rare"), (1, "rare"), *((i, "seldom") for i in range(2, 7))}
+
+
 def test_scores_separate_the_elite(spark):
     """Counts drawn from two Poissons: the fit recovers them, and the posterior ranks a term's occurrences by count."""
     rng = np.random.default_rng(0)

@@ -145,7 +145,7 @@ def _prefixes(texts: DataFrame, s: float, hot: int) -> DataFrame:
     """
     buckets = int(np.clip(1 << (32 * texts.count()).bit_length(), LEAST_BUCKETS, MOST_BUCKETS))
     word_count, triple_count = count_tables(texts, buckets)
-    usual = 1 + round(2 * float(triple_count.mean()))
+    usual = min(1 + round(2 * float(triple_count.mean())), np.iinfo(triple_count.dtype).max)  # where all are full, words alone order
     shared = texts.sparkSession.sparkContext.broadcast((np.log1p(word_count).astype(np.float32), np.maximum(triple_count, usual)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,6 +130,15 @@ def test_near_copies_equal_all_pairs(spark, hot, block):
     assert got == brute_copies(rows, 0.5, 200)
 
 
+def test_near_copies_with_saturated_buckets(spark, monkeypatch):
+    count = nearcopies.count_tables
+    rows = list(enumerate(made_texts(30, 6)))
+    for full in (128, 255):
+        monkeypatch.setattr(nearcopies, "count_tables", lambda texts, buckets, full=full: (count(texts, buckets)[0], np.full(buckets, full, np.uint8)))
+        got = {(r.id_a, r.id_b) for r in nearcopies.near_copy_pairs(texts_frame(spark, rows)).collect()}
+        assert got and got == brute_copies(rows, 0.5, 200)
+
+
 def test_near_copies_of_nothing(spark):
     assert nearcopies.near_copy_pairs(texts_frame(spark, [])).count() == 0
     assert nearcopies.near_copy_pairs(texts_frame(spark, [(1, None), (2, "short")])).count() == 0

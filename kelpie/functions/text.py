@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 _TOKEN = re.compile(r"[^\W_]+")
+#: Most distinct trigrams a task holds before it passes its counts on; only memory depends on it.
+HELD = 200_000
 
 
 def folded(text: str) -> str:
@@ -50,6 +55,28 @@ def trigrams(c: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
+def trigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(gram, n): how often each trigram stands in all texts; counted within each task before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                held.update([low[i : i + 3] for i in range(len(low) - 2)])
+                if len(held) > HELD:
+                    yield flush()
+        yield flush()
+
+    low = rows.select(F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    return low.mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def substring_count(c: Column, token: Column) -> Column:
     """Overlapping occurrences of the token in the lower-cased text; tokens under three characters never match."""
     low, t = F.lower(F.coalesce(c, F.lit(""))), F.lower(token)

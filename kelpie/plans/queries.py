@@ -195,6 +195,12 @@ def fn_trigram(spark: SparkSession, root: str) -> DataFrame:
     return own.select(F.explode(text.trigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query()
+def fn_trigram_all(spark: SparkSession, root: str) -> DataFrame:
+    """Trigrams of all texts, whatever their characters; fn_trigram and its SQL have those of ASCII texts only."""
+    return text.trigram_counts(records(spark, root, "id", "text"))
+
+
 @query(f"WITH {S.R}, m AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM r) SELECT id, coalesce(chr(10) || json_extract_string(m, '$.title'), '') || coalesce(chr(10) || array_to_string(list_filter(json_extract_string(m, '$.tags[*]'), lambda x: x IS NOT NULL), ' '), '') AS suffix FROM (SELECT id, m FROM m WHERE coalesce(json_type(m, '$.tags'), 'ARRAY') = 'ARRAY' AND json_exists(m, '$.tags')) UNION ALL SELECT id, coalesce(chr(10) || json_extract_string(m, '$.title'), '') FROM m WHERE m IS NULL OR NOT json_exists(m, '$.tags')")
 def fn_ftsmeta(spark: SparkSession, root: str) -> DataFrame:
     return records(spark, root, "id", "metadata").select("id", meta.fts_suffix(["title", "tags"])(F.col("metadata")).alias("suffix"))

@@ -1,4 +1,5 @@
 import sqlite3
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.text import fold_tokens
 from kelpie.operators import bm25, corpus, expand, fusion, ivf, vector
+from kelpie.plans.queries import queries
 
 TEXTS = [(1, "alpha beta beta"), (2, None), (3, ""), (4, "beta gamma alpha"), (5, "delta"), (6, "alpha alpha alpha beta"), (7, "epsilon beta"), (8, "zeta eta theta"), (9, "Béta")]
 
@@ -34,6 +36,14 @@ def test_trigram_equals_a_full_text_database(spark):
         assert [(r.id, round(r.score, 9)) for r in mine] == [(i, round(s, 9)) for i, s in theirs]
 
 
+def test_trigrams_of_all_texts(spark, tmp_path):
+    texts = ["Привет, мир", "Ünïque – naïve", "一二三四", "Αθήνα Αθήνα", "مرحبا بكم", "plain ASCII plain", "a\u00a0b", "😀😀😀😀", "e\u0301te\u0301", "ab", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], "id long, text string").write.parquet(f"{tmp_path}/records.parquet")
+    brute = Counter(t.lower()[k : k + 3] for t in texts if t for k in range(len(t.lower()) - 2))
+    assert {r.gram: r.n for r in queries()["fn_trigram_all"](spark, str(tmp_path)).collect()} == brute
+
+
 def brute_full(query, texts, weights, avgdl):
     q = fold_tokens(query)[:100]
     out = {}

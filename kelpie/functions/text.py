@@ -43,6 +43,12 @@ def tokens(text: pd.Series) -> pd.Series:
     return pd.Series([fold_tokens(x) for x in text], dtype=object)
 
 
+@pandas_udf(ArrayType(StringType()))
+def raw_words(text: pd.Series) -> pd.Series:
+    """The runs of letters, digits and underscores as they stand, with repetitions; an empty list for null."""
+    return pd.Series([re.findall(r"\w+", x) if x else [] for x in text], dtype=object)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of the letters A to Z only, as the metadata filters compare."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

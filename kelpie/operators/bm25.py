@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.scalars import K1, PAIR_WEIGHT, B, idf, saturation
-from kelpie.functions.text import bm25_text, substring_count, tokens
+from kelpie.functions.text import bm25_text, raw_words, tokens
 from kelpie.operators.vector import ranked
 from kelpie.session import written
 
@@ -18,6 +18,8 @@ from kelpie.session import written
 MOST_TOKENS, BUDGET_SHARE, BUDGET_LEAST = 100, 0.02, 1000
 #: Queries whose weights go to the tasks at once: terms x queries doubles, 100 x 128 x 128 x 8 bytes at most.
 QUERIES_AT_ONCE = 128
+#: Records scored at once; fewer in a substring search, where a record holds more of the terms.
+ROWS_AT_ONCE, SUBSTRING_ROWS = 2000, 250
 #: Candidates of the first stage: ranked ones, and unranked ones that hold all tokens.
 RANKED_CANDIDATES, ALL_CANDIDATES = 500, 1000
 
@@ -94,7 +96,7 @@ def _blocks(weights: DataFrame, blocks: int) -> Iterator[pa.Table]:
         yield weights.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
 
 
-def _score_block(weights: pa.Table, tokenised: DataFrame, k: int) -> DataFrame:
+def _score_block(weights: pa.Table, tokenised: DataFrame, k: int, rows: int = ROWS_AT_ONCE) -> DataFrame:
     qids = np.unique(weights.column("qid").to_numpy().astype(np.int64)) if weights.num_rows else np.empty(0, np.int64)
     words = sorted(set(weights.column("term").to_pylist()))
     place = {t: i for i, t in enumerate(words)}
@@ -108,8 +110,8 @@ def _score_block(weights: pa.Table, tokenised: DataFrame, k: int) -> DataFrame:
         qids, place, w, avgdl = shared.value
         best_s, best_i = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows if len(qids) else 0, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows if len(qids) else 0, rows):
+                batch = whole.slice(at, rows)
                 ids, lists, dl = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy().astype(np.float64)
                 term = np.array([place.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
                 doc = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -210,16 +212,57 @@ def direct(queries: DataFrame, tokenised: DataFrame, members: DataFrame, k: int
     return full_score(queries, members, tokenised, k, positive_only=True)
 
 
+def trigram_tokens(queries: DataFrame) -> DataFrame:
+    """(qid, token): the words of each query (qid, qtext) for a substring search, unfolded; MOST_TOKENS count."""
+    return queries.select("qid", F.explode(F.slice(raw_words(F.col("qtext")), 1, MOST_TOKENS)).alias("token"))
+
+
 def trigram(queries: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, score, rank) of substring search for one token each (qid, token), by BM25 over trigrams.
+    """(qid, id, score, rank) of substring search for the tokens of each query (qid, token), by BM25 over trigrams.
+
+    A query's score is the sum over all its tokens; one it repeats counts as often. tf counts overlapping occurrences
+    of the lower-cased token, a record's length is its number of trigrams, N and the mean length count every record.
+    Tokens under three characters find nothing. Diacritics matter.
 
-    tf counts overlapping occurrences of the lower-cased token, a record's length is its number of trigrams, N and the
-    mean length count every record. Tokens under three characters find nothing. Diacritics matter.
+    The tokens of a block of QUERIES_AT_ONCE queries go to every task, which finds them in its records; df and scores
+    are then those of a search by tokens.
     """
-    own = records.select("id", "text", F.greatest(F.length(F.coalesce("text", F.lit(""))) - 2, F.lit(0)).alias("dl"))
+    own = records.select(F.col("id").cast("bigint").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.greatest(F.length(F.coalesce("text", F.lit(""))) - 2, F.lit(0)).alias("dl"))
     stats = own.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
-    wanted = queries.where(F.length("token") >= 3).select("qid", F.lower("token").alias("token")).dropDuplicates(["qid"])
-    hit = own.join(wanted, F.contains(F.lower("text"), F.col("token"))).select("qid", "id", "dl", substring_count(F.col("text"), F.col("token")).alias("tf"))
-    df = hit.groupBy("qid").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "qid").join(F.broadcast(stats)).select("qid", "id", (idf(F.col("df"), F.col("total")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
-    return ranked(scored, k, F.col("id").asc())
+    wanted = queries.where(F.length("token") >= 3).groupBy("qid", F.lower("token").alias("term")).agg(F.count("*").alias("qtf"))
+    blocks = max(1, -(-wanted.select("qid").distinct().count() // QUERIES_AT_ONCE))
+    out = None
+    for block in range(blocks):
+        asks = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        found = _occurrences(own, [r.term for r in asks.select("term").distinct().toLocalIterator()])
+        weights = asks.join(document_frequencies(found), "term").join(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf(F.col("df"), F.col("total"))).alias("w"), "avgdl")
+        best = _score_block(weights.toArrow(), found, k, SUBSTRING_ROWS)
+        out = best if out is None else out.unionByName(best)
+    return ranked(out, k, F.col("id").asc())
+
+
+def _occurrences(own: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, tokens, dl): every place of a record where one of the terms stands, overlapping ones too."""
+    lengths: dict[str, set[int]] = {}
+    for t in terms:
+        lengths.setdefault(t[:3], set()).add(len(t))
+    shared = own.sparkSession.sparkContext.broadcast(({g: sorted(n) for g, n in lengths.items()}, set(terms)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, terms = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                found = []
+                for low in batch.column(1).to_pylist():
+                    here: list[str] = []
+                    for i in range(len(low) - 2):
+                        for n in lengths.get(low[i : i + 3], ()):
+                            if i + n > len(low):
+                                break
+                            if (t := low[i : i + n]) in terms:
+                                here.append(t)
+                    found.append(here)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["id", "tokens", "dl"])
+
+    return own.mapInArrow(run, "id bigint, tokens array<string>, dl int")

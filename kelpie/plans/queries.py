@@ -522,6 +522,12 @@ def rt_trigram(spark: SparkSession, root: str) -> DataFrame:
     return scored(bm25.trigram(wanted, records(spark, root, "id", "text"), 20))
 
 
+@query()
+def rt_trigram_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Substring search for all tokens of the query texts; rt_trigram and its SQL have four given tokens."""
+    return scored(bm25.trigram(bm25.trigram_tokens(text_queries(spark, root)), records(spark, root, "id", "text"), 20))
+
+
 @query(f"WITH {S.R.replace('SELECT DISTINCT * FROM records', 'SELECT DISTINCT * REPLACE (coalesce(text, ' + chr(39) * 2 + ') || coalesce(chr(10) || ' + _TITLE + ', ' + chr(39) * 2 + ') AS text) FROM records')}, {S.tok()}, {S.POST}, {S.DF}, {S.STATS}, {S.Q} {S.top(S.single())}")
 def rt_metakeys(spark: SparkSession, root: str) -> DataFrame:
     r = records(spark, root, "id", "text", "metadata")

@@ -36,6 +36,20 @@ def test_trigram_equals_a_full_text_database(spark):
         assert [(r.id, round(r.score, 9)) for r in mine] == [(i, round(s, 9)) for i, s in theirs]
 
 
+def test_trigram_of_several_tokens_equals_a_full_text_database(spark):
+    rows = [(1, "PostgreSQL configuration"), (2, "postgres gresql gresql"), (3, None), (4, "ab"), (5, "aaaa aaa"), (6, "привет postgres"), (7, "a config"), (8, "nothing here"), (9, "other words"), (10, "more of them")]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize = 'trigram')")
+    con.executemany("INSERT INTO f (rowid, t) VALUES (?, ?)", rows)
+    records = spark.createDataFrame(rows, "id long, text string")
+    asks = [(1, "gresql CONF"), (2, "aaa aaaa ab aaa"), (3, "config configuration Привет"), (4, "ab"), (5, None)]
+    got = bm25.trigram(bm25.trigram_tokens(spark.createDataFrame(asks, "qid long, qtext string")), records).collect()
+    for qid, q in asks[:3]:
+        theirs = con.execute("SELECT rowid, -bm25(f) FROM f WHERE f MATCH ?", (" OR ".join(f'"{t}"' for t in q.split()),)).fetchall()
+        assert {r.id: round(r.score, 9) for r in got if r.qid == qid} == {i: round(s, 9) for i, s in theirs}
+    assert {r.qid for r in got} == {1, 2, 3}
+
+
 def test_trigrams_of_all_texts(spark, tmp_path):
     texts = ["Привет, мир", "Ünïque – naïve", "一二三四", "Αθήνα Αθήνα", "مرحبا بكم", "plain ASCII plain", "a\u00a0b", "😀😀😀😀", "e\u0301te\u0301", "ab", "", None]
     rows = [(i, t) for i, t in enumerate(texts)]

@@ -250,7 +250,7 @@ def _unit_places(text: str, lang: str) -> Iterator[int]:
             stop += 1
         if stop in marks and not regex.match(r"\n", text[at:stop]) and m.group()[0] == ".":
             continue  # the mark of a list belongs to the sentence after it
-        tail = text[at : at + 24]
+        tail = text[at : at + 24] if stop - at < 2 else text[at] + text[stop : stop + 23]  # one blank of a run is enough
         bare = regex.sub(rf"(?:\s*{EMOJI})+\Z", "", head, flags=_V1)
         for r in rules:
             if r.before.search(bare) and r.after.match(tail):

@@ -373,6 +373,12 @@ def test_sentences(parts):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == [text[a:b] for a, b in want]
 
 
+@pytest.mark.parametrize("blanks", [" ", " " * 30, "\n" + " " * 30, " " * 200])
+def test_long_blanks_after_an_abbreviation(blanks):
+    for text, n in ((f"We met Dr.{blanks}Smith in the town.", 1), (f"It was ok!{blanks}or so they said to the man.", 1), (f"It is the end.{blanks}And the start.", 2)):
+        assert len(sentences.sentence_spans(text)) == n
+
+
 def test_positions_with_invisible_and_decomposed_characters():
     text = "﻿​Café a­b.​ ⁠Next öne​!​\n"
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == ["Café a­b.", "Next öne​!"]

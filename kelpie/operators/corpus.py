@@ -46,8 +46,11 @@ def lead_and_body(text: Column) -> tuple[Column, Column]:
     return F.when(start.isNull(), lead).otherwise(lead), body
 
 
-def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, most: int = MOST_WINDOWS) -> Column:
-    """Blocks packed greedily into windows that close at ``close`` words; a short last one joins the one before it."""
+def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, most: int | None = MOST_WINDOWS) -> Column:
+    """Blocks packed greedily into windows that close at ``close`` words; a short last one joins the one before it.
+
+    The first ``most`` windows are kept, all of them for None.
+    """
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(s: Column, b: Column) -> Column:
@@ -59,7 +62,8 @@ def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, m
         done, last = s["done"], s["open"]
         count = F.size(done)
         joined = F.concat(F.slice(done, F.lit(1), F.greatest(count - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit("\n\n"), last)))
-        return F.slice(F.when(last == "", done).when((s["n"] < tail) & (count > 0), joined).otherwise(F.concat(done, F.array(last))), 1, most)
+        packed = F.when(last == "", done).when((s["n"] < tail) & (count > 0), joined).otherwise(F.concat(done, F.array(last)))
+        return packed if most is None else F.slice(packed, 1, most)
 
     return F.aggregate(blocks, state, step, finish)
 

@@ -756,7 +756,7 @@ def dp_split(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def dp_chunks(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "documents", "doc_id", "text")
-    return d.select("doc_id", F.posexplode(corpus.windows(corpus.blocks(F.col("text")), 60, 15, 10)).alias("n", "chunk")).select("doc_id", "n", F.size(corpus.words(F.col("chunk"))).alias("words"))
+    return d.select("doc_id", F.posexplode(corpus.windows(corpus.blocks(F.col("text")), 60, 15, None)).alias("n", "chunk")).select("doc_id", "n", F.size(corpus.words(F.col("chunk"))).alias("words"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE len({_WORDS.format('text')}) >= 60 AND len({_BLOCKS}) >= 2 AND NOT starts_with(text, 'List of')")

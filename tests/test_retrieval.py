@@ -176,6 +176,13 @@ def test_expansion(spark):
     assert [s.id for s in full[3].siblings] == [4, 2] and full[3].summary.id == 1 and full[5].summary is None and 77 not in full
 
 
+def test_chunks_keep_long_documents_whole(spark, tmp_path):
+    text = "\n\n".join(" ".join(["word"] * 30) for _ in range(100))
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["dp_chunks"](spark, str(tmp_path)).orderBy("n").collect()
+    assert [(r.doc_id, r.n, r.words) for r in got] == [(1, n, 60) for n in range(50)]
+
+
 def test_windows_and_percentiles(spark):
     block = "w " * 300
     df = spark.createDataFrame([("\n\n".join([block.strip()] * 6),), (None,), ("short",)], "text string")

@@ -40,11 +40,22 @@ def cosine(a: Column, b: Column) -> Column:
 def fp16(vec: pd.Series) -> pd.Series:
     """Each number rounded to half precision, then the vector brought to unit length (length at least 1e-12)."""
 
-    def one(v):
-        x = np.asarray(v, np.float32).astype(np.float16).astype(np.float32)
-        return x / np.float32(max(float(np.linalg.norm(x)), 1e-12))
-
-    return vec.map(one, na_action="ignore")
+    return pd.Series(_halves(vec.tolist()), dtype=object)
+
+
+def _halves(rows: list) -> list:
+    """Matrix arithmetic over all rows of one length at once; null stays null."""
+    out: list = [None] * len(rows)
+    by_length: dict[int, list[int]] = {}
+    for k, v in enumerate(rows):
+        if v is not None:
+            by_length.setdefault(len(v), []).append(k)
+    for at in by_length.values():
+        x = np.array([rows[k] for k in at], np.float32).astype(np.float16).astype(np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
+        for k, v in zip(at, x):
+            out[k] = v
+    return out
 
 
 def quantised(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

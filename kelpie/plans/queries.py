@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import metadata as meta
@@ -19,6 +19,7 @@ from kelpie.plans import sqlparts as S
 from kelpie.session import written
 from kelpie.sources import embed, ingest
 from kelpie.sources.tables import table
+from kelpie.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -642,11 +643,11 @@ _NEW = _SQL["src_flatten"].split("SELECT ingest_id, external_id, doc_id, type, p
 @query(
     _NEW
     + f""", f AS (SELECT * FROM n WHERE n = 1), g AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY ingest_id DESC, place DESC) AS m FROM f), z AS (SELECT * FROM g WHERE m = 1), {S.R}
-SELECT id, external_id, doc_id, type, position FROM r WHERE external_id IS NULL OR external_id NOT IN (SELECT external_id FROM z)
-UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY ingest_id, place, external_id), external_id, doc_id, type, position FROM z"""
+SELECT id, external_id, doc_id, type, position, text, metadata FROM r WHERE external_id IS NULL OR external_id NOT IN (SELECT external_id FROM z)
+UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY ingest_id, place, external_id), external_id, doc_id, type, position, text, coalesce(metadata, '{{}}') FROM z"""
 )
 def wr_upsert(spark: SparkSession, root: str) -> DataFrame:
-    old = records(spark, root, "id", "external_id", "doc_id", "type", "position")
+    old = records(spark, root, "id", "external_id", "doc_id", "type", "position", "text", "metadata")
     return writes.upsert(old, ingest.flatten(table(spark, root, "ingest_in")), ["ingest_id", "place", "external_id"])
 
 
@@ -810,8 +811,12 @@ def wn_budget(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("qid").agg(F.sum(F.col("kept").cast("bigint")).alias("kept"), F.count("*").alias("terms"))
 
 
-@query("SELECT id, row_number() OVER (PARTITION BY coll_name ORDER BY id) AS turn FROM (SELECT DISTINCT * FROM jobs)")
+@query(
+    """WITH j AS (SELECT DISTINCT id, coll_name, CASE WHEN coalesce(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.op') IN ('attach_index', 'detach_index'), false) THEN 1 ELSE 0 END AS b FROM jobs WHERE lower(status) IN ('pending', 'processing')),
+s AS (SELECT *, 2 * sum(b) OVER (PARTITION BY coll_name ORDER BY id ROWS UNBOUNDED PRECEDING) - b AS run FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY coll_name, run ORDER BY id) - 1 AS nth FROM s)
+SELECT id, coll_name, dense_rank() OVER (PARTITION BY coll_name ORDER BY run, nth // 8)::INT AS turn, (nth % 8 + 1)::INT AS place FROM n"""
+)
 def wr_job(spark: SparkSession, root: str) -> DataFrame:
-    """The order in which a collection's jobs are taken: by id."""
-    jobs = table(spark, root, "jobs", "id", "coll_name").dropDuplicates(["id"])
-    return jobs.select("id", F.row_number().over(Window.partitionBy("coll_name").orderBy("id")).alias("turn"))
+    """The batches in which open jobs are worked off: by id, index jobs alone."""
+    own = table(spark, root, "jobs", "id", "coll_name", "status", "payload")
+    return jobs.turns(own, F.get_json_object("payload", "$.op").isin(*jobs.INDEX_JOBS))

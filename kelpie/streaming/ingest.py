@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kelpie.operators.store import Collection
+from kelpie.session import release
 from kelpie.sources.ingest import DOCUMENTS, flatten, problem
 
 #: Files of a batch, and the pause between batches.
@@ -40,7 +41,16 @@ def start(collection: Collection, landing: str, checkpoint: str, jobs_path: str,
     """Follows a folder of payload files. With ``once`` it takes what is there and ends."""
     spark = collection.store.spark
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", FILES_AT_ONCE).format(format).load(landing)
-    writer = stream.writeStream.foreachBatch(lambda df, n: apply_batch(collection, df.persist(), n, jobs_path, embed)).option("checkpointLocation", checkpoint)
+
+    def take(df: DataFrame, n: int) -> None:
+        held = df.persist()
+        try:
+            apply_batch(collection, held, n, jobs_path, embed)
+        finally:
+            held.unpersist()
+            release(spark)
+
+    writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=PAUSE)).start()
 
 

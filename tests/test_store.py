@@ -115,3 +115,100 @@ def test_embedding_retries(spark, tmp_path):
     df = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(70)], "id long, text string").coalesce(1)
     got = {r.id: r.vec for r in embedded(df, flaky, wait=0.01).collect()}
     assert len(got) == 69 and got[5] == pytest.approx(hashed(8)(["t5"])[0], abs=1e-6)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_upsert_of_wide_rows_loses_none(spark, adaptive):
+    from pyspark.sql import functions as F
+
+    from kelpie.operators import writes
+
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = F.repeat(F.sha2(F.col("id").cast("string"), 512), 8)
+        old = spark.range(1, 20_001).select("id", F.concat(F.lit("k"), "id").alias("external_id"), wide.alias("text"))
+        new = spark.range(0, 30_000).repartition(13).select(F.col("id").alias("ingest_id"), (F.col("id") * 7919 % 30_000).alias("place"), F.concat(F.lit("k"), F.col("id") + 10_001).alias("external_id"), wide.alias("text"), F.array(F.lit(0.5)).alias("vector"))
+        rows = writes.upsert(old, new, ["place", "ingest_id"]).collect()
+        assert len(rows) == 40_000 and len({r.id for r in rows}) == len({r.external_id for r in rows}) == 40_000
+        came = sorted((r for r in rows if r.id > 20_000), key=lambda r: r.id)
+        assert [r.id for r in came] == list(range(20_001, 50_001))
+        places = [(int(r.external_id[1:]) - 10_001) * 7919 % 30_000 for r in came]
+        assert places == sorted(places) and all(r.text for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_segments_merge_and_lists_follow(spark, tmp_path, monkeypatch):
+    from kelpie.operators import store as st
+
+    monkeypatch.setattr(st, "MOST_SEGMENTS", 4)
+    store = Store(spark, f"file://{tmp_path}")
+    c = store.create("m", Options(dim=8))
+    x = np.random.default_rng(3).standard_normal((1100, 8))
+    c.ingest(frame(spark, (1, [doc(f"d{i % 50}", *[chunk(f"k{j}", "t", x[j].tolist()) for j in range(i, 1100, 50)]) for i in range(50)])))
+    c.attach_index(8, 8)
+    assert c.delete_document("d7") == 22
+    c.patch_metadata("d8", {"a": 1})
+    c.ingest(frame(spark, (2, [doc("d9", chunk("k9", "again", x[0].tolist()), chunk("new", None, x[1].tolist()), chunk("mute", "text only"))])))
+    assert c.backfill(hashed(8)) == 1 and c.backfill(hashed(8)) == 0
+    assert len(c.current["segments"]) <= 4 and c.records.count() == c.vecs.count() == 1100 - 22 + 2
+    c.sync_index()
+    assert {r.id for r in c.lists(c.current["index"]).collect()} == {r.id for r in c.vecs.collect()}
+    assert [r.text for r in c.records.where("external_id = 'k9'").collect()] == ["again"]
+    assert c.vacuum(3600) == 0 and c.vacuum(0) > 0 and c.records.count() == 1080
+    c.ingest(frame(spark, (3, [doc("v", chunk("only", None, x[2].tolist()))])))
+    c.commit(gone=c.records.where("external_id = 'only'").selectExpr("id", "true as vec"), records=c.records.where("external_id = 'only'"))
+    with pytest.raises(ValueError, match="1 records have neither"):
+        c.backfill(hashed(8))
+
+
+def test_jobs_run_in_batches_with_barriers(spark, tmp_path):
+    from kelpie.streaming.jobs import Jobs, turns
+
+    store = Store(spark, f"file://{tmp_path}")
+    c = store.create("q", Options(dim=8))
+    waits = []
+    jobs = Jobs(c, waits.append)
+    for i in range(3):
+        jobs.enqueue(frame(spark, (0, [doc(f"d{i}", chunk(f"c{i}", None if i == 1 else "t"))])))
+    jobs.enqueue(op="attach_index", nlist=4)
+    jobs.enqueue(frame(spark, (0, [doc("d0", chunk("c0", "newer"))])))
+    with pytest.raises(ValueError):
+        jobs.enqueue(op="reindex")
+    once = c.ingest
+
+    def failing(*a, **k):
+        if len(waits) < 2:
+            raise OSError("disk")
+        return once(*a, **k)
+
+    c.ingest = failing
+    assert jobs.run(hashed(8)) == 5 and waits == [1.0, 2.0]
+    assert [(jobs.job(i).status, jobs.job(i).error) for i in range(1, 6)] == [("done", None), ("error", "c1: needs a text or a vector"), ("done", None), ("error", "2 vectors are too few for 4 lists"), ("done", None)]
+    assert {r.text for r in c.records.collect()} == {"t", "newer"}
+    rows = [(i, "a", "Pending" if i % 2 else "processing", "x" if i in (3, 5) else None) for i in range(1, 13)] + [(13, "a", "done", None), (1, "a", "Pending", None)]
+    df = spark.createDataFrame(rows, "id long, coll_name string, status string, payload string")
+    got = {r.id: (r.turn, r.place) for r in turns(df, df.payload == "x", 4).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 1), 4: (3, 1), 5: (4, 1), 6: (5, 1), 7: (5, 2), 8: (5, 3), 9: (5, 4), 10: (6, 1), 11: (6, 2), 12: (6, 3)}
+
+
+def test_embedding_service(monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    from kelpie.sources.embed import endpoint
+
+    def answer(request, timeout):
+        if "bad" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 503 if "503" in request.full_url else 400, "no", {}, None)
+        n = len(json.loads(request.data)["input"])
+        return io.BytesIO(json.dumps({"data": [{"index": i, "embedding": [i]} for i in reversed(range(n))]}).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    assert endpoint("http://h/v1")(["a", "b"]) == [[0], [1]]
+    with pytest.raises(TryAgain):
+        endpoint("http://bad503")(["a"])
+    with pytest.raises(urllib.error.HTTPError):
+        endpoint("http://bad400")(["a"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kelpie.llm import distinctive, leaks, lookalike, nearcopies, neighbours, sentences, tokens
 from kelpie.sources.tables import table
@@ -34,12 +35,18 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text", "lang"))
 
 
+def p7_edited(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold exact, edited or partly reworded copies of items, by alignment score."""
+    found = leaks.edited_copies(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text", "lang"))
+    return found.select("doc_id", "item_id", "score", F.round("share", 6).alias("share"), "longest_run")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(table(spark, root, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p7_edited, p8_found)}
 
 
 _P2 = r"""WITH i AS (SELECT unnest(documents) AS d FROM ingest_in), c AS (SELECT unnest(d.chunks) AS c FROM i),

@@ -1,18 +1,21 @@
 """Sentence boundaries by cascading rule tables.
 
 A unit is what stands between blank lines. In it every terminal mark (with the closing marks and emoji after it) is a
-place where a sentence may end. At each place the rules of the unit's language are tried first, then those of its
-family of scripts, then the common ones; the first rule whose two patterns match the text before and after the place
-decides between break and no break. Marks inside a quotation or bracket are no places at all.
+place where a sentence may end; in Thai text every blank is one. Tables of ordered rules are mapped to languages by
+patterns, and all tables whose pattern fits the unit's language apply one after another: enclosures, list marks, the
+language's own table, names, the common one. The first rule whose two patterns match the text before and after the
+place, each as far as it reaches, decides between break and no break.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -78,10 +81,13 @@ CLOSERS = "\"'”’»›)]}」』）】》〉〕］｝“‘"
 CLOSERS_WIDE = "\"'”’»›)]}」』）】》〉〕］｝"
 EMOJI = r"(?:[\p{Extended_Pictographic}\p{RI}--[\d#*©®™‼⁉]][︎️\U0001F3FB-\U0001F3FF]*(?:‍\p{Extended_Pictographic}[︎️\U0001F3FB-\U0001F3FF]*)*)"
 INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠㅤﾠ]")
+_EMOJI_BEFORE = regex.compile(rf"(?r)(?:\s*{EMOJI})+", regex.V1)
 _V1 = regex.V1
 
 UNIT_END = regex.compile(r"(?:\r\n|[\n\r ])\s*?(?:\r\n|[\n\r ])\s*", _V1)
-LIST_MARK = regex.compile(r"(?:[-–—*•·‣▪]|[(（]?(?:\p{Nd}{1,3}|\p{Ll}|[ivxIVX]{1,4})[.)）]|[一二三四五六七八九十]{1,3}、)\s+", _V1)
+LINE_START = r"(?:\A|\n)\s*"
+LIST_SIGN = r"(?:[-–—*•·‣▪]|[(（]?(?:\p{Nd}{1,3}|\p{Ll}|[ivxIVX]{1,4})[.)）]|[一二三四五六七八九十]{1,3}、)"
+LIST_NUMBER = r"[(（]?(?:\p{Nd}{1,3}|\p{Ll}|[ivxIVX]{1,4})\."
 SPACE_PLACE = regex.compile(rf"[{regex.escape(NEEDS_BLANK)}{FULL_WIDTH}]+(?:[{regex.escape(CLOSERS)}*_~`]|(?<=[!?…»])\s(?=»))*(?:[^\S\n]*{EMOJI})*(?=\s|\Z)|[{FULL_WIDTH}]+[{regex.escape(CLOSERS_WIDE)}]*(?:[^\S\n]*{EMOJI})*", _V1)
 GREEK_PLACE = regex.compile(rf"(?:{SPACE_PLACE.pattern})|[;;][{regex.escape(CLOSERS)}]*(?:[^\S\n]*{EMOJI})*(?=\s|\Z)", _V1)
 THAI_PLACE = regex.compile(r"[^\S\r\n]+", _V1)
@@ -89,16 +95,36 @@ THAI_PLACE = regex.compile(r"[^\S\r\n]+", _V1)
 
 @dataclass(frozen=True)
 class Rule:
-    """What must stand right before and right after a place, and whether a sentence ends there."""
+    """What must stand right before and right after a place, and whether a sentence ends there.
+
+    before is matched backwards from the place; None matches anything. An enclosing rule holds only inside quotations
+    and brackets.
+    """
 
     name: str
-    before: regex.Pattern
+    before: regex.Pattern | None
     after: regex.Pattern
     ends: bool
+    enclosing: bool = False
+
+
+@dataclass(frozen=True)
+class Table:
+    """Rules for the languages that a pattern fits. No rule matches where ``any_before`` doesn't (None: some may)."""
+
+    languages: regex.Pattern
+    rules: tuple[Rule, ...]
+    any_before: regex.Pattern | None
 
 
-def rule(name: str, before: str, after: str, ends: bool) -> Rule:
-    return Rule(name, regex.compile(rf"(?:{before})\Z", _V1), regex.compile(after, _V1), ends)
+def rule(name: str, before: str, after: str, ends: bool, enclosing: bool = False) -> tuple[str, Rule]:
+    return before, Rule(name, regex.compile(rf"(?r)(?:{before})", _V1) if before else None, regex.compile(after, _V1), ends, enclosing)
+
+
+def table_of(languages: str, rules: list[tuple[str, Rule]]) -> Table:
+    parts = [before for before, _ in rules]
+    together = regex.compile("(?r)" + "|".join(f"(?:{x})" for x in parts), _V1) if all(parts) and len(parts) > 1 else None
+    return Table(regex.compile(languages), tuple(r for _, r in rules), together)
 
 
 OPENERS = r"[\"'“‘„«‹(\[{「『（【《〈¿¡*_~`#]"
@@ -112,7 +138,7 @@ def _any_of(words: str) -> str:
     return "(?:" + "|".join(regex.escape(w).replace(r"\.", r"\.\s?") for w in sorted(set(words.split()), key=lambda w: (-len(w), w))) + ")"
 
 
-def _language_rules(lang: str) -> list[Rule]:
+def _language_rules(lang: str) -> list[tuple[str, Rule]]:
     a, rules = ABBREVIATIONS[lang], []
     if lang == "de":
         rules.append(rule("day of a month", r"(?<!\p{N})\p{Nd}{1,2}\.", rf"\s+(?:{'|'.join(GERMAN_MONTHS.split())})\b", False))
@@ -139,8 +165,21 @@ def _language_rules(lang: str) -> list[Rule]:
     return rules
 
 
-INITIALS = rule("initial of a name", r"(?<![\p{L}\p{M}\p{N}°'’])(?<!\p{N}\s)\p{Lu}\.", r"\s+\p{Lu}", False)
-COMMON = [
+#: The cascade: tables in the order in which they apply, by the languages they are for.
+TABLES = [
+    table_of(".*", [rule("inside a quotation or bracket", "", "", False, enclosing=True)]),
+    table_of("(?!th).*", [rule("number of a list", rf"{LINE_START}{LIST_NUMBER}", r"[^\S\n]\s*\S", False)]),
+    table_of("th", [
+        rule("start of the unit", r"\A\s*", "", False),
+        rule("mark of a list", rf"{LINE_START}{LIST_SIGN}", r"\s", False),
+        rule("within a number", r"[\p{Nd}\p{No}]", r"[^\S\r\n]+[\p{Nd}\p{No}]", False),
+        rule("emoji of the sentence", "", rf"\s+{EMOJI}", False),
+        rule("nothing follows", "", r"[^\S\r\n]+\Z", False),
+        rule("blank", "", r"[^\S\r\n]+", True),
+    ]),
+    *[table_of("latin|" + lang if lang in FUNCTION_WORDS else lang, _language_rules(lang)) for lang in ABBREVIATIONS if _language_rules(lang)],
+    table_of("(?!th).*", [rule("initial of a name", r"(?<![\p{L}\p{M}\p{N}°'’])(?<!\p{N}\s)\p{Lu}\.", r"\s+\p{Lu}", False)]),
+    table_of("(?!th).*", [
     rule("full-width mark closed by a quote that goes on", rf"[{FULL_WIDTH}][”’」』》〉\"]+", r"[^\s\"“‘「『《〈(（]", False),
     rule("full-width mark", rf"[{FULL_WIDTH}]\P{{L}}*?", r"", True),
     rule("nothing follows", r"", r"\s*\Z", True),
@@ -152,34 +191,42 @@ COMMON = [
     rule("small letter", r"", rf"\s*{OPENERS}*\s?\p{{Ll}}", False),
     rule("quote that goes on in a script without capitals", rf"[{regex.escape(NEEDS_BLANK)}][\"'”’»›“]+", r"\s+\p{Lo}", False),
     rule("letter without case, or a sign", r"", r"\s+\S", True),
-]
+    ]),
+]
 
 
 @lru_cache(maxsize=64)
-def rules_of(lang: str) -> tuple[Rule, ...]:
-    """The cascade of a language: its own table (for Latin letters of no known language, all of them), initials, the common table."""
-    if lang == "latin":
-        own = [r for x in ("en", "de", "fr", "es") for r in _language_rules(x)]
-    else:
-        own = _language_rules(lang) if lang in ABBREVIATIONS else []
-    return (*own, INITIALS, *COMMON)
+def tables_of(lang: str) -> tuple[Table, ...]:
+    """The tables that apply to a language, in order; Latin letters of no known language get those of all known ones."""
+    return tuple(t for t in TABLES if t.languages.fullmatch(lang))
 
 
 _SCRIPTS = [
-    ("th", regex.compile(r"\p{Thai}")), ("zh", regex.compile(r"\p{Han}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")),
-    ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("am", regex.compile(r"\p{Ethiopic}")),
-    ("el", regex.compile(r"\p{Greek}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("latin", regex.compile(r"\p{Latin}")),
+    ("th", r"\p{Thai}"), ("zh", r"\p{Han}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"),
+    ("am", r"\p{Ethiopic}"), ("el", r"\p{Greek}"), ("ru", r"\p{Cyrillic}"), ("latin", r"\p{Latin}"),
 ]
 _ASKED = {w: [lang for lang in FUNCTION_WORDS if w in FUNCTION_WORDS[lang].split()] for words in FUNCTION_WORDS.values() for w in words.split()}
 _LATIN_WORD = regex.compile(r"\p{Latin}+")
 
 
+@lru_cache(maxsize=1)
+def _script_of() -> np.ndarray:
+    """Of every code point, the place of its script in the list above from 1 on; 0 for others."""
+    whole = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.zeros(0x110000, np.uint8)
+    for k, (_, pattern) in enumerate(_SCRIPTS):
+        out[[ord(c) for c in regex.findall(pattern, whole)]] = k + 1
+    return out
+
+
 def language_of(text: str, default: str = "latin") -> str:
     """The language whose rules hold for a text: by its script, Latin ones by their function words."""
     if text.isascii():
         script = "latin"
     else:
-        counts = {lang: sum(1 for _ in p.finditer(text)) for lang, p in _SCRIPTS}
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = np.bincount(_script_of()[points], minlength=len(_SCRIPTS) + 1)[1:].tolist()
+        counts = {lang: n for (lang, _), n in zip(_SCRIPTS, found)}
         if counts["ja"] * 8 > counts["zh"]:
             counts["ja"] += counts["zh"]
         script = max(counts, key=lambda k: counts[k])
@@ -188,9 +235,10 @@ def language_of(text: str, default: str = "latin") -> str:
     if script != "latin":
         return script
     votes = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _LATIN_WORD.findall(text.lower()):
-        for lang in _ASKED.get(w, ()):
-            votes[lang] += 1
+    seen = Counter(_LATIN_WORD.findall(text.lower()))
+    for w in seen.keys() & _ASKED.keys():
+        for lang in _ASKED[w]:
+            votes[lang] += seen[w]
     best = max(votes, key=lambda k: votes[k])
     return best if votes[best] and sorted(votes.values())[-2] < votes[best] else default
 
@@ -222,70 +270,61 @@ def enclosed(text: str) -> list[tuple[int, int]]:
 
 def _unit_places(text: str, lang: str) -> Iterator[int]:
     """Where sentences of a unit end (not its own end)."""
-    spans = enclosed(text)
-    inside = bytearray(len(text) + 1)
-    for a, b in spans:
-        inside[a + 1 : b] = b"\x01" * (b - a - 1)
-    lines = [0] + [m.end() for m in regex.finditer(r"\n\s*", text)]
-    marks = {m.end() for at in lines if (m := LIST_MARK.match(text, at))}
-    if lang == "th":
-        for m in THAI_PLACE.finditer(text):
-            a, b = m.span()
-            if a == 0 or b >= len(text) or b in marks or inside[a]:
-                continue
-            if text[a - 1].isdigit() and text[b].isdigit():
-                continue
-            if regex.match(EMOJI, text[b:], _V1):
-                continue
-            yield a
-        return
-    rules = rules_of(lang)
-    for m in (GREEK_PLACE if lang == "el" else SPACE_PLACE).finditer(text):
-        at = m.end()
-        if at >= len(text) or inside[at] or inside[m.start()] and not _closes(inside, m.start(), at):
+    inside: bytearray | None = None
+    tables = tables_of(lang)
+    for m in (THAI_PLACE if lang == "th" else GREEK_PLACE if lang == "el" else SPACE_PLACE).finditer(text):
+        at = m.start() if lang == "th" else m.end()
+        if at >= len(text):
             continue
-        head = text[max(0, at - 40) : at]
-        stop = at
-        while stop < len(text) and text[stop].isspace():
-            stop += 1
-        if stop in marks and not regex.match(r"\n", text[at:stop]) and m.group()[0] == ".":
-            continue  # the mark of a list belongs to the sentence after it
-        tail = text[at : at + 24] if stop - at < 2 else text[at] + text[stop : stop + 23]  # one blank of a run is enough
-        bare = regex.sub(rf"(?:\s*{EMOJI})+\Z", "", head, flags=_V1)
-        for r in rules:
-            if r.before.search(bare) and r.after.match(tail):
-                if r.ends:
-                    yield at
-                break
+        if inside is None:
+            inside = bytearray(len(text) + 1)
+            for a, b in enclosed(text):
+                inside[a + 1 : b] = b"\x01" * (b - a - 1)
+        if _ends(text, at, bool(inside[at]), tables):
+            yield at
+
+
+def _ends(text: str, at: int, within: bool, tables: tuple[Table, ...]) -> bool:
+    """The first rule that fits decides; what follows an emoji is decided by what stands before it."""
+    stop = at
+    if at and text[at - 1] > " " and (emoji := _EMOJI_BEFORE.match(text, 0, at)):
+        stop = emoji.start()
+    for t in tables:
+        if t.any_before is not None and t.any_before.match(text, 0, stop) is None:
+            continue
+        for r in t.rules:
+            if r.enclosing and not within:
+                continue
+            if (r.before is None or r.before.match(text, 0, stop)) and r.after.match(text, at):
+                return r.ends
+    return False
 
 
-def _closes(inside: bytearray, start: int, at: int) -> bool:
-    """The place's own closing marks end the quotation or bracket in which its terminal mark stands."""
-    return not inside[at] and bool(inside[start])
+_ODD = regex.compile(r"[\p{Cf}͏ᅟᅠㅤﾠ]|\P{M}\p{M}+|(?<!\P{M})\p{M}+")
+_EMOJI_JOINER = regex.compile(r"(?<=[\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF])‍(?=\p{Extended_Pictographic})")
 
 
 def _plain(text: str) -> tuple[str, list[int] | None]:
     """The text without invisible characters and with composed accents, and each character's place in the original."""
     if text.isascii() or not INVISIBLE.search(text) and unicodedata.is_normalized("NFC", text):
         return text, None
-    out, where = [], []
-    emoji_joiners = {m.start() for m in regex.finditer(r"(?<=[\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF])‍(?=\p{Extended_Pictographic})", text)}
-    for m in regex.finditer(r"[\p{Cf}͏ᅟᅠㅤﾠ]|\P{M}\p{M}*|\p{M}+", text):
-        s = m.group()
-        if len(s) == 1 and INVISIBLE.match(s) and m.start() not in emoji_joiners:
-            continue
-        if len(s) > 1:
-            kept = [(c, m.start() + k) for k, c in enumerate(s) if not INVISIBLE.match(c)]
-            composed = unicodedata.normalize("NFC", "".join(c for c, _ in kept))
-            if len(composed) < len(kept):
-                out.append(composed)
-                where.extend(kept[k][1] for k in range(len(composed)))
-                continue
-            out.append("".join(c for c, _ in kept))
-            where.extend(k for _, k in kept)
-        else:
-            out.append(s)
-            where.append(m.start())
+    out: list[str] = []
+    where: list[int] = []
+    joiners = {m.start() for m in _EMOJI_JOINER.finditer(text)}
+    done = 0
+    for m in _ODD.finditer(text):
+        a, b = m.span()
+        out.append(text[done:a])
+        where.extend(range(done, a))
+        done = b
+        kept = [k for k in range(a, b) if k in joiners or not INVISIBLE.match(text[k])]
+        own = "".join(text[k] for k in kept)
+        composed = unicodedata.normalize("NFC", own)
+        own = composed if len(composed) < len(own) else own
+        out.append(own)
+        where.extend(kept[: len(own)])
+    out.append(text[done:])
+    where.extend(range(done, len(text)))
     return "".join(out), where
 
 
@@ -298,14 +337,14 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     plain, where = _plain(text)
-    default = language_of(plain)
-    spans = []
-    at = 0
-    units = [(a, b) for a, b in _units(plain)]
-    for a, b in units:
+    default, spans = "", []
+    for a, b in _units(plain):
         unit = plain[a:b]
+        lang = language_of(unit, "")
+        if not lang:  # that of the whole text
+            lang = default = default or language_of(plain)
         at = 0
-        for end in (*_unit_places(unit, language_of(unit, default)), len(unit)):
+        for end in (*_unit_places(unit, lang), len(unit)):
             x, y = a + at, a + end
             at = end
             while x < y and not _visible(plain[x]):

@@ -326,6 +326,30 @@ def test_leaks(spark):
     assert row.share == 1.0 and row.longest_run == len(items[3][1].split())
 
 
+def test_letters_of_an_item_without_chinese_ones(spark):
+    latin = "transformerarchitecturescale"
+    items = spark.createDataFrame([(1, "我们讨论 " + latin + " 的效果", "zh"), (2, "短文" * 4, "zh")], "item_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, f"We study {latin}."), (2, f"We study 的 {latin}."), (3, "We study transformer scale.")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, items).collect()} == {(1, 1), (2, 1)}
+
+
+def test_edited_copies(spark):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(8 if i < 3 else 40)), "en") for i in range(6)] + [(9, "three words only", "en"), (10, None, "en")]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs = [(100 + i, " ".join(filler(50) + t.split() + filler(50))) for i, t, _ in items if t]
+    w = items[4][1].split()
+    docs.append((200, " ".join(filler(3000) + [x for k, x in enumerate(w) if k % 9 != 4] + filler(30))))  # a word in nine is gone
+    docs.append((201, " ".join(filler(20) + [x if k % 6 else "other" for k, x in enumerate(w)])))  # a word in six is another
+    docs.append((202, " ".join(w[:9] + filler(60))))  # a quarter of it
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, lang string")
+    got = {(r.doc_id, r.item_id): r.share for r in leaks.edited_copies(d, e).collect()}
+    assert set(got) == {(100 + i, i) for i in range(6)} | {(200, 4), (201, 4)}
+    assert got[100, 0] == 1.0 and 0.8 < got[200, 4] < 0.9 and 0.6 < got[201, 4] < 0.8
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, e).collect()} == {(103, 3), (104, 4), (105, 5)}
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(3)
     pairs = [(rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(1, 20)).astype(np.uint64)) for _ in range(60)]
@@ -373,6 +397,14 @@ def test_sentences(parts):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == [text[a:b] for a, b in want]
 
 
+def test_every_rule_sees_the_whole_unit():
+    parts = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    assert parts("See fig." + " " * 90 + "3 for it. Next.") == ["See fig." + " " * 90 + "3 for it.", "Next."]
+    assert parts("1." + "\t" * 40 + "One thing. Two.") == ["1." + "\t" * 40 + "One thing.", "Two."]
+    assert parts("ราคา 10 500 บาท ต่อ “คำ คำ” ชิ้น") == ["ราคา", "10 500", "บาท", "ต่อ", "“คำ คำ”", "ชิ้น"]
+    assert parts("1. ข้อ แรก\n2) ข้อ") == ["1. ข้อ", "แรก\n2) ข้อ"]
+
+
 @pytest.mark.parametrize("blanks", [" ", " " * 30, "\n" + " " * 30, " " * 200])
 def test_long_blanks_after_an_abbreviation(blanks):
     for text, n in ((f"We met Dr.{blanks}Smith in the town.", 1), (f"It was ok!{blanks}or so they said to the man.", 1), (f"It is the end.{blanks}And the start.", 2)):

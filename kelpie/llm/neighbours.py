@@ -5,10 +5,12 @@
    most edges (Kernighan-Lin style), so both sides stay equal.
 2. A small classifier (a softmax layer on the unit vectors) learns the parts. It routes every vector of the collection
    to its most probable parts, ``PROBES`` of them at most, fewer where the first ones are certain.
+   A collection too large for one level is partitioned again: each part gets a graph, parts and a classifier of its
+   own, learned by a task from a sample of that part, so parts stay small and a classifier has few classes.
 3. Within each part all its vectors are compared by their exact cosines, block against block, and each vector's
    nearest of all its parts are merged.
 
-Only the partition is learned from the sample; every vector is indexed and queried. Equal vectors are one vector with
+Only the partition is learned from samples; every vector is indexed and queried. Equal vectors are one vector with
 several keys: the nearest of each are among the first few keys, so a vector that a third of all rows share costs no more
 than another one.
 """
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from kelpie.session import written
 
-#: Vectors of which the partition and its classifier are learned: a bound on the driver's work and memory.
+#: Vectors of which one partition and its classifier are learned: a bound on the driver's and on a task's work and memory.
 SAMPLE = 16_384
-#: Vectors of the collection for each part, and the largest number of parts.
-PART_SIZE, MOST_PARTS = 1280, 4096
+#: Vectors of the collection for each part, the most parts of one level, and the least sample vectors for each.
+PART_SIZE, MOST_PARTS, LEAST_A_PART = 1280, 256, 16
+#: Vectors that a task routes at once where a part is partitioned again.
+ROUTED = 50_000
 #: Most parts of a vector, and the probability at which it needs no further part.
 PROBES, CERTAIN = 2, 0.97
 #: Vectors in a block; a part with more is compared block against block, each couple of blocks in a task of its own.
@@ -162,8 +166,26 @@ def _entries(near: bytes) -> Iterator[str]:
         at = end
 
 
-def learned(vectors: DataFrame, n: int, sample: int = SAMPLE, part_size: int = PART_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """(router weights, blocks by part) from a sample of the ``n`` distinct vectors of (key, vec, h)."""
+def levels_for(n: int, part_size: int, most: int) -> list[int]:
+    """How many times each level halves: together about n / part_size parts, at most ``most`` by one level."""
+    bits = max(0, round(math.log2(max(1, n / part_size))))
+    several = max(1, math.ceil(bits / int(math.log2(most))))
+    return [bits // several + (k < bits % several) for k in range(several)]
+
+
+def partition(x: np.ndarray, bits: int, n: float) -> tuple[np.ndarray, np.ndarray]:
+    """(router weights, blocks by part) of a collection of n vectors, from unit vectors of it."""
+    parts = 1 << bits
+    while parts > 1 and len(x) < LEAST_A_PART * parts:
+        parts //= 2
+    weights = fit_router(x, balanced_parts(x, parts), parts)
+    _, part = route(x, weights)
+    expected = np.bincount(part, minlength=parts) * (n / len(x))
+    return weights, np.ceil(np.maximum(expected, 1) / BLOCK).astype(np.int64)
+
+
+def learned(vectors: DataFrame, n: int, bits: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(router weights, blocks by part) of the first level, from a sample of the ``n`` distinct vectors of (key, vec, h)."""
     if not n:
         return np.zeros((1, 1), np.float32), np.ones(1, np.int64)
     share = min(1.0, 1.25 * sample / n)
@@ -171,14 +193,77 @@ def learned(vectors: DataFrame, n: int, sample: int = SAMPLE, part_size: int = P
     rows = vectors.select("h", "vec").where(F.col("h") <= low).dropDuplicates(["h"]).orderBy("h").limit(sample).toArrow()
     if not rows.num_rows:
         rows = vectors.select("h", "vec").orderBy("h").limit(1).toArrow()
-    x = unit(np.stack([np.asarray(v, np.float32) for v in rows.column("vec").to_pylist()]))
-    parts = 1 << int(np.clip(round(math.log2(max(1, n / part_size))), 0, math.log2(MOST_PARTS)))
-    while parts > 1 and len(x) < 4 * parts:
-        parts //= 2
-    weights = fit_router(x, balanced_parts(x, parts), parts)
-    _, part = route(x, weights)
-    expected = np.bincount(part, minlength=parts) * (n / len(x))
-    return weights, np.ceil(np.maximum(expected, 1) / BLOCK).astype(np.int64)
+    return partition(unit(np.stack([np.asarray(v, np.float32) for v in rows.column("vec").to_pylist()])), bits, n)
+
+
+def _placed(b: pa.RecordBatch | pa.Table, row: np.ndarray, part: np.ndarray, blocks: np.ndarray, h: np.ndarray, path: np.ndarray | int = 0) -> pa.RecordBatch:
+    """Rows (part, q, i, role, enc, keys): to a part of several blocks a vector goes once for each couple of blocks it is in."""
+    n = blocks[part]
+    own = (h[row].astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)
+    one = n == 1
+    at, qs, is_, roles = [np.flatnonzero(one)], [own[one]], [own[one]], [np.zeros(one.sum(), np.int64)]
+    many = np.flatnonzero(~one)
+    if len(many):
+        rep = np.repeat(many, n[many])
+        other = np.arange(len(rep)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        for role, q, i in ((1, own[rep], other), (2, other, own[rep])):
+            at.append(rep), qs.append(q), is_.append(i), roles.append(np.full(len(rep), role))
+    at = np.concatenate(at)
+    out = b.take(pa.array(row[at]))
+    ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (qs, is_, roles)]
+    columns = [out.column(x).combine_chunks() if isinstance(out, pa.Table) else out.column(x) for x in ("enc", "keys")]
+    return pa.RecordBatch.from_arrays([pa.array((path + part)[at].astype(np.int64)), *ints, *columns], names=["part", "q", "i", "role", "enc", "keys"])
+
+
+_PLACED = "part bigint, q int, i int, role int, enc binary, keys array<string>"
+
+
+def partitioned_again(rows: DataFrame, counts: DataFrame, bits: int, last: bool, dim: int, part_size: int, sample: int, probes: int, certain: float) -> DataFrame:
+    """Each path of (path, choice, enc, keys) gets a partition of its own: rows of the next level, or placed ones at the last.
+
+    ``counts`` (path, n) are the first choices by path. A path's partition is learned in a task from at most ``sample``
+    of them, chosen by hash; at the last level it has as many parts as its size needs. Rows meet their path's classifier
+    in salted groups of about ROUTED, so a large path is routed by many tasks. A second choice of the level above is
+    followed to its most probable part only.
+    """
+    hashed = rows.where("choice = 0").join(F.broadcast(counts), "path").withColumn("u", F.xxhash64("enc"))
+    low = (F.least(F.lit(1.0), F.lit(1.5) * sample / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)).cast("double")
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("u", "enc"))
+    chosen = hashed.where(F.col("u").cast("double") <= low).withColumn("r", nth).where(F.col("r") <= sample).select("path", "n", "enc")
+
+    def learn(t: pa.Table) -> pa.Table:
+        n = t.column("n")[0].as_py()
+        own = min(max(0, round(math.log2(max(1, n / part_size)))), int(math.log2(MOST_PARTS))) if last else bits
+        weights, blocks = partition(unit(unpacked(t.column("enc").to_pylist(), dim)), own, n)
+        return pa.table({"path": t.column("path").slice(0, 1), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "blocks": pa.array([blocks.tobytes()], pa.binary())})
+
+    routers = chosen.groupBy("path").applyInArrow(learn, "path bigint, weights binary, blocks binary").join(F.broadcast(counts), "path")
+    salts = F.ceil(2 * F.col("n") / ROUTED).cast("int")
+    salted = rows.join(F.broadcast(counts), "path").withColumn("salt", F.pmod(F.xxhash64("enc"), salts).cast("int")).select("path", "salt", "choice", "enc", "keys")
+    each = routers.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "weights", "blocks")
+
+    def follow(t: pa.Table, routers: pa.Table) -> pa.Table:
+        if not t.num_rows or not routers.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
+        t = t.combine_chunks()
+        path, enc = t.column("path")[0].as_py() * MOST_PARTS, t.column("enc").to_pylist()
+        weights = np.frombuffer(routers.column("weights")[0].as_py(), np.float32).reshape(-1, dim)
+        blocks = np.frombuffer(routers.column("blocks")[0].as_py(), np.int64)
+        choice, x = t.column("choice").to_numpy(), unit(unpacked(enc, dim))
+        row, part = route(x, weights, probes, certain)
+        fresh = np.r_[True, row[1:] != row[:-1]]
+        keep = fresh | (choice[row] == 0)
+        row, part, fresh = row[keep], part[keep], fresh[keep]
+        if last:
+            out = _placed(t, row, part, blocks, identities(enc), path)
+            return pa.Table.from_batches([out])
+        to = t.take(pa.array(row))
+        return pa.table({"path": pa.array(path + part), "choice": pa.array(np.where(fresh, choice[row], 1).astype(np.int32)), "enc": to.column("enc"), "keys": to.column("keys")})
+
+    schema = _PLACED if last else "path bigint, choice int, enc binary, keys array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[c.split()[1]] for c in schema.split(", ")]
+    return salted.groupBy("path", "salt").cogroup(each.groupBy("path", "salt")).applyInArrow(follow, schema)
 
 
 def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART_SIZE, sample: int = SAMPLE, probes: int = PROBES, certain: float = CERTAIN) -> DataFrame:
@@ -192,7 +277,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
     """
     rows = vectors.select("key", "vec").where(F.col("key").isNotNull() & usable(F.col("vec"), dim)).withColumn("vec", F.col("vec").cast("array<float>")).withColumn("h", F.xxhash64("vec"))
     n, most = rows.groupBy("h").count().agg(F.count("*"), F.max("count")).first()
-    weights, blocks = learned(rows, n, sample, part_size)
+    levels = levels_for(n, part_size, MOST_PARTS)
+    weights, blocks = learned(rows, n, levels[0], sample)
     shared = rows.sparkSession.sparkContext.broadcast((weights, blocks))
     keep = k + 1
 
@@ -212,22 +298,18 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
                 b = batch.slice(at, 4000)
                 enc = b.column("enc").to_pylist()
                 row, part = route(unit(unpacked(enc, dim)), weights, probes, certain)
-                h = identities(enc)
-                n = blocks[part]
-                own = (h[row].astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)
-                one = n == 1
-                rows_, parts_, qs, is_, roles = [row[one]], [part[one]], [own[one]], [own[one]], [np.zeros(one.sum(), np.int64)]
-                many = np.flatnonzero(~one)
-                if len(many):
-                    rep = np.repeat(many, n[many])
-                    other = np.arange(len(rep)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-                    for role, q, i in ((1, own[rep], other), (2, other, own[rep])):
-                        rows_.append(row[rep]), parts_.append(part[rep]), qs.append(q), is_.append(i), roles.append(np.full(len(rep), role))
-                out = b.take(pa.array(np.concatenate(rows_)))
-                ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (parts_, qs, is_, roles)]
-                yield pa.RecordBatch.from_arrays([*ints, out.column("enc"), out.column("keys")], names=["part", "q", "i", "role", "enc", "keys"])
-
-    schema = "part int, q int, i int, role int, enc binary, keys array<string>"
+                if single:
+                    yield _placed(b, row, part, blocks, identities(enc))
+                else:
+                    out, choice = b.take(pa.array(row)), np.r_[0, (row[1:] == row[:-1]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(choice.astype(np.int32)), out.column("enc"), out.column("keys")], names=["path", "choice", "enc", "keys"])
+
+    single = len(levels) == 1
+    placed = distinct.mapInArrow(routed, _PLACED if single else "path bigint, choice int, enc binary, keys array<string>")
+    for level, bits in enumerate(levels[1:], 2):
+        placed = written(placed, "routed")
+        counts = placed.where("choice = 0").groupBy("path").agg(F.count("*").alias("n"))
+        placed = partitioned_again(placed, counts, bits, level == len(levels), dim, part_size, sample, probes, certain)
 
     def search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -261,7 +343,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, part_size: int = PART
             near = [sorted({entry for part in parts for entry in _entries(part)})[:k] for parts in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.string()))], names=["h", "keys", "near"])
 
-    parts = distinct.mapInArrow(routed, schema).groupBy("part", "q", "i").applyInArrow(search, "h bigint, keys array<string>, near binary")
+    parts = placed.groupBy("part", "q", "i").applyInArrow(search, "h bigint, keys array<string>, near binary")
     lists = parts.groupBy("h").agg(F.first("keys").alias("keys"), F.collect_list("near").alias("near"))
     merged = lists.mapInArrow(merge, "h bigint, keys array<string>, near array<string>")
 

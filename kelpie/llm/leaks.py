@@ -183,11 +183,13 @@ def windows(documents: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 text = plain(batch.column(1)[k].as_py())
-                by_word, by_sign = words_of(text, known), signs_of(text)
                 places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 wanted = batch.column(2)[k].as_py()
                 hs = np.unique(np.array([s["h"] for s in wanted], np.int64).view(np.uint64))
-                for tokens, n in ((by_word, SEED), (by_sign, SEED_ZH)):
+                for cut, n in ((lambda x: words_of(x, known), SEED), (signs_of, SEED_ZH)):
+                    if len(places) == len(hs):
+                        break
+                    tokens = cut(text)
                     grams = runs_of(tokens, n)
                     at = np.flatnonzero(np.isin(grams, hs))
                     for h in np.unique(grams[at]):

@@ -19,6 +19,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return nearcopies.near_copy_pairs(table(spark, root, "records", "id", "text"))
 
 
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each record with a near copy: its group and its number of links."""
+    return nearcopies.near_copy_groups(table(spark, root, "records", "id", "text"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return distinctive.standing_out(table(spark, root, "records", "id", "text")).select("id", "term")
 
@@ -46,7 +51,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p7_edited, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_found, p6_ids, p7_found, p7_edited, p8_found)}
 
 
 _P2 = r"""WITH i AS (SELECT unnest(documents) AS d FROM ingest_in), c AS (SELECT unnest(d.chunks) AS c FROM i),

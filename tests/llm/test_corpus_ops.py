@@ -68,8 +68,11 @@ def test_neighbours_edge_tables(spark):
     assert {(r.key, r.neighbour, r.similarity) for r in two} == {("a", "b", 1.0), ("b", "a", 1.0)}
 
 
-def test_learned_parts_reach_the_recall(spark, monkeypatch):
+@pytest.mark.parametrize("most", [256, 4])
+def test_learned_parts_reach_the_recall(spark, monkeypatch, most):
     monkeypatch.setattr(neighbours, "BLOCK", 150)  # parts of several blocks too
+    monkeypatch.setattr(neighbours, "MOST_PARTS", most)  # with few parts a level, two levels
+    assert len(neighbours.levels_for(3000, 200, most)) == (1 if most == 256 else 2)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((150, 16))
     x = (np.repeat(centres, 20, 0) + 0.25 * rng.standard_normal((3000, 16))).astype(np.float32)
@@ -130,6 +133,37 @@ def test_near_copies_equal_all_pairs(spark, hot, block):
     assert got == brute_copies(rows, 0.5, 200)
 
 
+@pytest.mark.parametrize(("hot", "block"), [(64, 8192), (3, 4)])
+def test_groups_of_near_copies(spark, hot, block):
+    rows = list(enumerate(made_texts(40, 9)))
+    rows += [(500 + i, rows[3][1]) for i in range(5)] + [(600, None), (601, "short"), (500, rows[3][1])]
+    pairs = brute_copies(rows, 0.5, 200)
+    sets = lookalike.UnionFind()
+    for a, b in pairs:
+        sets.join(a, b)
+    groups = defaultdict(set)
+    for x in {i for pair in pairs for i in pair}:
+        groups[sets.find(x)].add(x)
+    want = {i: (min(g), sum(i in pair for pair in pairs)) for g in groups.values() for i in g}
+    got = {r.id: (r.group, r.links) for r in nearcopies.near_copy_groups(texts_frame(spark, rows), hot=hot, block=block).collect()}
+    assert got == want
+    assert nearcopies.near_copy_groups(texts_frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    sets = lookalike.UnionFind()
+    for a, b in edges:
+        sets.join(a, b)
+    least = {}
+    for x in sorted({i for e in edges for i in e}):
+        least.setdefault(sets.find(x), x)
+    want = {x: least[sets.find(x)] for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.root for r in nearcopies.components(df).collect()} == want
+
+
 def test_near_copies_with_saturated_buckets(spark, monkeypatch):
     count = nearcopies.count_tables
     rows = list(enumerate(made_texts(30, 6)))
@@ -151,12 +185,18 @@ def test_pivot_table_never_discards_a_true_pair():
         a, b = np.unique(rng.choice(pool, 90)), np.unique(rng.choice(pool, 90))
         both = len(np.intersect1d(a, b))
         alike = both >= 0.3 * (len(a) + len(b) - both)
-        passes = nearcopies.may_be_alike(nearcopies.pivot_row(a), nearcopies.pivot_row(b), len(a), len(b), 0.3)
-        # the closed form is the maximum over reference fingerprints: check it against the distances of some
-        da, db = nearcopies.pivot_row(a), nearcopies.pivot_row(b)
-        for union in rng.integers(0, 2, (20, nearcopies.CLASSES)):
-            r = union.sum() * 10
-            assert abs((len(a) + r - 2 * (da * union).sum()) - (len(b) + r - 2 * (db * union).sum())) <= np.abs(da - db).sum()
+        da, db = nearcopies.distances(a), nearcopies.distances(b)
+        passes = nearcopies.may_be_alike(da, db, len(a), len(b), 0.3)
+        member = lambda x, k: int((x % nearcopies.CLASSES == k).sum())
+        size = 1 << 20  # a reference's own bits, as many in each class
+        assert [len(a) + size - 2 * member(a, k) for k in range(3)] == [int(x) + size for x in da[:3]]
+        worst = int(nearcopies.unions_differ(da, db, len(a), len(b)))
+        ca, cb = (len(a) - da) // 2, (len(b) - db) // 2
+        greatest = 0
+        for union in (*rng.integers(0, 2, (20, nearcopies.CLASSES)), (ca > cb).astype(int), (ca < cb).astype(int)):
+            r = union.sum() * size
+            greatest = max(greatest, abs((len(a) + r - 2 * (ca * union).sum()) - (len(b) + r - 2 * (cb * union).sum())))
+        assert greatest == worst <= len(a) + len(b) - 2 * both  # the closed form is the maximum over all unions
         assert passes or not alike
 
 

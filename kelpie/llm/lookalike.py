@@ -12,25 +12,27 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpie.llm.words import sliced
 from kelpie.session import written
 
-# Letters of other alphabets that look like a Latin letter, by that letter.
-LOOKALIKE_LETTERS = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
-    "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ", "W": "ԜᎳ",
-    "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ", "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іιı",
-    "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօσ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υսʋ", "v": "νѵ", "w": "ԝա",
-    "x": "хχ", "y": "уγү", "z": "ᴢ",
-}
+# Letters that look like a Latin letter but which the public table of look-alikes doesn't group with it,
+# or that are Latin themselves, by that letter.
+LOOKALIKE_LETTERS = {"Q": "Ԛ", "a": "ɑ", "g": "ɡ", "i": "ı", "l": "ӏ", "u": "ʋ", "x": "χ", "z": "ᴢ"}
+#: Scripts whose signs aren't letters of an alphabet.
+NO_ALPHABET = regex.compile(r"[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Tangut}\p{Yi}\p{Nushu}\p{Khitan_Small_Script}]")
 #: Visible format characters: signs that span the digits after them. All other format characters are invisible.
 VISIBLE_FORMAT = set("؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd")
 #: Invisible although they aren't format characters: joiners, fillers and variation selectors.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
 
+_LATIN = regex.compile(r"\p{Latin}")
+
+
 class UnionFind:
     """Disjoint sets over strings, with path halving."""
 
@@ -53,12 +55,40 @@ def _decomposed(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def classes() -> dict[str, list[str]]:
+def _letters() -> str:
+    """Letters of alphabets that are whole in themselves: no signs of a composed letter."""
+    single = (chr(c) for c in range(0x41, 0x20000) if unicodedata.category(chr(c))[0] == "L")
+    return "".join(c for c in single if not NO_ALPHABET.match(c) and len(_decomposed(c)) == 1)
+
+
+def lookalike_groups(spark: SparkSession) -> tuple[str, ...]:
+    """Letters that look alike by Unicode's table of confusable characters, as the JVM's ICU library has it.
+
+    Letters with one skeleton form a group: the ASCII letters and letters of other alphabets, but no second Latin one.
+    Where a group holds both cases of a letter, or two ASCII letters, capitals and small letters are kept apart.
+    """
+    letters = _letters()
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    by_skeleton: dict[str, list[str]] = {}
+    for c, skeleton in zip(letters, checker.getSkeleton(0, "\n".join(letters)).split("\n"), strict=True):
+        if c.isascii() or not _LATIN.match(c):
+            by_skeleton.setdefault(skeleton, []).append(c)
+    out = []
+    for group in by_skeleton.values():
+        parts = [group]
+        if len({c.casefold() for c in group}) < len(group) or sum(c.isascii() for c in group) > 1:
+            parts = [[c for c in group if (unicodedata.category(c) in ("Lu", "Lt")) == upper] for upper in (True, False)]
+        out += ["".join(p) for p in parts if len(p) > 1]
+    return tuple(sorted(out))
+
+
+@lru_cache(maxsize=2)
+def classes(groups: tuple[str, ...] = ()) -> dict[str, list[str]]:
     """The transitive look-alike classes over code points and strings, by any one member; the empty string's class is the invisible ones.
 
     All strings are canonically decomposed, so that composition never makes a difference. Derived from the properties
     of all code points: width variants, compatibility signs of several letters (ligatures) or of one letter of another
-    block (micro sign), kinds of blanks, invisible characters; and from the letters listed above.
+    block (micro sign), kinds of blanks, invisible characters; and from the ``groups`` of look-alike letters.
     """
     sets = UnionFind()
     for cp in range(0x80, sys.maxunicode + 1):
@@ -78,7 +108,7 @@ def classes() -> dict[str, list[str]]:
         whole = _decomposed("".join(chr(int(x, 16)) for x in rest.split()))
         if tag in ("<wide>", "<narrow>") or tag == "<noBreak>" or tag == "<compat>" and category[0] == "L" and cp != 0x017F:
             sets.join(c, whole)
-    for letter, others in LOOKALIKE_LETTERS.items():
+    for letter, others in [*LOOKALIKE_LETTERS.items(), *((g[0], g[1:]) for g in groups)]:
         for c in others:
             sets.join(_decomposed(c), letter)
     found: dict[str, list[str]] = {}
@@ -87,18 +117,18 @@ def classes() -> dict[str, list[str]]:
     return found
 
 
-def members() -> list[str]:
-    return sorted(x for group in classes().values() for x in group if x)
+def members(groups: tuple[str, ...] = ()) -> list[str]:
+    return sorted(x for group in classes(groups).values() for x in group if x)
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], groups: tuple[str, ...] = ()) -> dict[str, str]:
     """member -> representative: of each class the most frequent member, of equals the first in code point order.
 
     The invisible class keeps the empty string. A representative is a member no other member is part of, so the result
     of rewriting never holds something to be rewritten.
     """
     to: dict[str, str] = {}
-    for group in classes().values():
+    for group in classes(groups).values():
         if "" in group:
             best = ""
         else:
@@ -139,24 +169,23 @@ class Rewriter:
 
 def member_counts(records: DataFrame, text: str = "text") -> dict[str, int]:
     """How often each class member occurs in all texts: at most as many rows as there are members reach the driver."""
-    known = set(members())
+    known = set(members(lookalike_groups(records.sparkSession)))
     long = sorted(x for x in known if len(x) > 1)
     single = np.array(sorted(ord(x) for x in known if len(x) == 1), np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sys.maxunicode + 1, np.int64)
         strings: Counter = Counter()
-        for batch in batches:
-            texts = [x for x in batch.column(0).to_pylist() if x]
-            for at in range(0, len(texts), 2000):
-                joined = _decomposed("\n".join(texts[at : at + 2000]))
-                points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-                total += np.bincount(points, minlength=len(total))
-                has = set(np.flatnonzero(total).tolist())
-                for x in long:
-                    if all(ord(c) in has for c in x):
-                        strings[x] += joined.count(x)
-        rows = [(chr(p), int(total[p])) for p in single if total[p]] + [(x, n) for x, n in strings.items() if n]
+        automaton = ahocorasick.Automaton()
+        for x in long:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for part in (x for batch in batches for x in sliced(batch, 0)):
+            joined = _decomposed("\n".join(x for x in part.column(0).to_pylist() if x))
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            total += np.bincount(points, minlength=len(total))
+            strings.update(x for _, x in automaton.iter(joined))
+        rows = [(chr(p), int(total[p])) for p in single if total[p]] + list(strings.items())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["member", "n"])
 
@@ -166,7 +195,7 @@ def member_counts(records: DataFrame, text: str = "text") -> dict[str, int]:
 
 def canonical_text(records: DataFrame, key: str = "id", text: str = "text", counts: dict[str, int] | None = None) -> DataFrame:
     """(key, text, canonical): each text beside its representative form; a null text has a null form."""
-    to = representatives(member_counts(records, text) if counts is None else counts)
+    to = representatives(member_counts(records, text) if counts is None else counts, lookalike_groups(records.sparkSession))
     key_type = records.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +207,12 @@ def canonical_text(records: DataFrame, key: str = "id", text: str = "text", coun
     return records.select(key, text).mapInArrow(run, f"`{key}` {key_type}, `{text}` string, canonical string")
 
 
-def look_same(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(id_a, id_b): pairs of different keys, smaller first, whose texts look the same but aren't equal.
+def spelled(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(id, form, form2, own): a 128-bit digest of each text's form and a 64-bit one of the text itself, written once.
 
-    Only a 128-bit digest of the form and a 64-bit one of the text are shuffled. Forms with a single spelling drop out by an
-    aggregate; the rest joins itself on the form, where Spark's skew join splits a form that many rows share. Null
-    texts, and texts without any visible sign or blank, give no pairs; repeated rows count once. Case, accents, digits,
-    raised digits, punctuation, line breaks and the number of blanks stay as they are.
+    Null keys and texts, and texts without any visible sign or blank, have no row; repeated rows count once.
     """
-    to = representatives(member_counts(records, text))
+    to = representatives(member_counts(records, text), lookalike_groups(records.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = Rewriter(to)
@@ -200,9 +226,32 @@ def look_same(records: DataFrame, key: str = "id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(d[:, k].copy()) for k in range(3))], names=["id", "form", "form2", "own"])
 
     schema = "id bigint, form bigint, form2 bigint, own bigint"
-    spelled = written(records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema), "spelled").distinct()
-    several = spelled.groupBy("form", "form2").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("form", "form2")
-    rows = spelled.join(several, ["form", "form2"], "left_semi")
+    return written(records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema), "spelled").distinct()
+
+
+def look_same(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(id_a, id_b): pairs of different keys, smaller first, whose texts look the same but aren't equal.
+
+    Only digests of the forms and texts are shuffled. Forms with a single spelling drop out by an aggregate; the rest
+    joins itself on the form, where Spark's skew join splits a form that many rows share. Case, accents, digits, raised
+    digits, punctuation, line breaks and the number of blanks stay as they are. ``look_classes`` has the same without
+    expanding pairs.
+    """
+    rows = spelled(records, key, text)
+    several = rows.groupBy("form", "form2").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("form", "form2")
+    rows = rows.join(several, ["form", "form2"], "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.form") == F.col("b.form")) & (F.col("a.form2") == F.col("b.form2"))
     return a.join(b, same).where("a.id < b.id and a.own <> b.own").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+
+
+def look_classes(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(id, class, links): of each key whose text looks like others the least key of its class, and how many keys have it otherwise spelled.
+
+    Counted by form and spelling, so a form that a third of all rows share is never joined with itself.
+    """
+    rows = spelled(records, key, text)
+    by_own = rows.groupBy("form", "form2", "own").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    by_form = by_own.groupBy("form", "form2").agg(F.sum("n").alias("all"), F.min("least").alias("class"), F.count("*").alias("spellings")).where("spellings > 1")
+    counted = by_own.join(by_form, ["form", "form2"]).select("form", "form2", "own", "class", (F.col("all") - F.col("n")).alias("links"))
+    return rows.join(counted, ["form", "form2", "own"]).select("id", "class", "links")

@@ -28,14 +28,37 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return distinctive.standing_out(table(spark, root, "records", "id", "text")).select("id", "term")
 
 
+def p4_scores(spark: SparkSession, root: str) -> DataFrame:
+    """All repeated terms that belong to their elite, by the posterior alone."""
+    found = distinctive.scored_terms(table(spark, root, "records", "id", "text"), least_tf=2, least_chars=3)
+    return found.where("score >= 0.5").withColumn("score", F.round("score", 6))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.look_same(table(spark, root, "records", "id", "text"))
 
 
+def p5_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each record that looks like others: its class and how many records are spelled otherwise."""
+    return lookalike.look_classes(table(spark, root, "records", "id", "text"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents", "doc_id", "text"))
 
 
+def p6_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """Of each document the number of its tokens, of the characters they cover, and of tokens that share a character with the one before."""
+    spans = tokens.encode(table(spark, root, "documents", "doc_id", "text"), offsets=True)
+    shared = F.zip_with(F.slice("starts", 2, 2**31 - 1), "ends", lambda start, end: (start < end).cast("int"))
+    return spans.select("doc_id", F.size("ids").alias("tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("chars"), F.aggregate(shared, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))).alias("split"))
+
+
+def p6_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Each document's text as its ids give it back."""
+    return tokens.decode(tokens.encode(table(spark, root, "documents", "doc_id", "text")))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text", "lang"))
 
@@ -51,7 +74,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_found, p6_ids, p7_found, p7_edited, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_classes, p6_ids, p6_offsets, p6_texts, p7_found, p7_edited, p8_found)}
 
 
 _P2 = r"""WITH i AS (SELECT unnest(documents) AS d FROM ingest_in), c AS (SELECT unnest(d.chunks) AS c FROM i),
@@ -74,4 +97,4 @@ SELECT id, term FROM t JOIN d USING (term), n WHERE tf >= 2 AND length(term) >=
 
 def oracle_sql() -> dict[str, str]:
     """SQL that compares all vectors, all pairs with a common triple, and all terms; for the others SQL lacks the means."""
-    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4}
+    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

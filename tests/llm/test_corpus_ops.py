@@ -245,11 +245,28 @@ def test_scores_separate_the_elite(spark):
     post = distinctive.elite_posterior(np.arange(8.0), weight, high, low)
     assert (np.diff(post) > 0).all() and post[1] < 0.1 and post[6] > 0.99
     rows = [(i, "everywhere " + ("burst " * 6 if i % 10 == 0 else "burst" if i % 10 < 3 else "")) for i in range(200)]
-    scored = {(r.id, r.term): r.score for r in distinctive.term_scores(texts_frame(spark, rows)).collect()}
+    scored = {(r.id, r.term): r.score for r in distinctive.scored_terms(texts_frame(spark, rows)).collect()}
     assert len(scored) == sum(len(set(t.split())) for _, t in rows)
     assert scored[(0, "burst")] > 0.99 > 0.5 > scored[(1, "burst")]
 
 
+def test_counts_at_the_bar_always_belong_to_the_elite():
+    rng = np.random.default_rng(1)
+    for total in (30, 3000, 30_000, 10**9):
+        times = rng.integers(0, 5, (400, 12)).astype(float)
+        times[:, 0] += rng.integers(0, max(2, min(total // 3, 10**6)), 400)
+        counts = np.sort(np.concatenate([rng.integers(1, 6, (400, 6)), 2 ** rng.integers(0, 12, (400, 6))], 1).cumsum(1), 1).astype(float)
+        df = np.minimum(times.sum(1), total)
+        need = distinctive.tfidf_bar(total)
+        bar = distinctive.least_count(df, total, need)
+        at = np.isfinite(bar)
+        assert ((1 + np.log(bar[at])) * np.log(total / df[at]) >= need - 1e-6).all()
+        assert ((bar[at] == 2) | ((1 + np.log(np.maximum(bar[at] - 1, 1))) * np.log(total / df[at]) < need)).all()
+        weight, high, low = distinctive.fit_two_poisson(counts, times, float(total), elite=bar)
+        for more in (0, 1, 10, 1000):
+            assert (distinctive.elite_posterior(bar[at] + more, weight[at], high[at], low[at]) >= 0.5 - 1e-9).all()
+
+
 # --- texts that look the same
 
 
@@ -273,13 +290,28 @@ def test_looks(spark):
     assert lookalike.look_same(texts_frame(spark, [])).count() == 0
     forms = {r.id: r.canonical for r in lookalike.canonical_text(texts_frame(spark, rows)).dropDuplicates(["id"]).collect()}
     assert forms[5000] is None and forms[5001] == "" and forms[0] == forms[1]
+    links = Counter(i for pair in got for i in pair)
+    classes = {r.id: (r["class"], r.links) for r in lookalike.look_classes(texts_frame(spark, rows)).collect()}
+    assert {i: n for i, (_, n) in classes.items()} == links and all(classes[a][0] == classes[b][0] == min(a, classes[a][0]) for a, b in got)
+
+
+def test_letters_of_the_public_table(spark):
+    groups = lookalike.lookalike_groups(spark)
+    of = {c: k for k, g in enumerate(groups) for c in g}
+    for a, b in ("AА", "DᎠ", "FϜ", "RᎡ", "UՍ", "bЬ", "rг", "oο", "eе", "TТ", "BΒ", "k𝐤", "t𝑡", "Lꓡ", "IІ", "SᏚ", "XꓫΧ"[:2]):
+        assert of[a] == of[b], (a, b)
+    for a, b in ("Il", "Oo", "Оо", "Сс", "fſ", "iı"):
+        assert of.get(a) is None or of.get(a) != of.get(b), (a, b)
+    rewrite = lookalike.Rewriter(lookalike.representatives({}, groups))
+    assert rewrite("Пaсcword") == rewrite("Пасcwоrd") and rewrite("𝐬𝐚𝐦𝐞") == rewrite("same") and rewrite("Case") != rewrite("case")
 
 
-def test_representatives_follow_frequency_and_are_stable():
-    few = lookalike.representatives({"а": 9, "a": 3})
+def test_representatives_follow_frequency_and_are_stable(spark):
+    groups = lookalike.lookalike_groups(spark)
+    few = lookalike.representatives({"а": 9, "a": 3}, groups)
     assert few["a"] == "а" and "а" not in few
     for counts in ({}, {"а": 9, "ﬁ": 50, "f": 1}, {"　": 4}):
-        rewrite = lookalike.Rewriter(lookalike.representatives(counts))
+        rewrite = lookalike.Rewriter(lookalike.representatives(counts, groups))
         for a, b in SAME:
             assert rewrite(a) == rewrite(b) == rewrite(rewrite(a)), (a, b, counts)
         for a, b in DIFFERENT:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -56,9 +57,10 @@ def _decomposed(text: str) -> str:
 
 @lru_cache(maxsize=1)
 def _letters() -> str:
-    """Letters of alphabets that are whole in themselves: no signs of a composed letter."""
-    single = (chr(c) for c in range(0x41, 0x20000) if unicodedata.category(chr(c))[0] == "L")
-    return "".join(c for c in single if not NO_ALPHABET.match(c) and len(_decomposed(c)) == 1)
+    """Letters of alphabets that are whole in themselves: no composed, raised or listed ones."""
+    listed = set("".join(LOOKALIKE_LETTERS.values()))
+    single = (chr(c) for c in range(0x41, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo"))
+    return "".join(c for c in single if c not in listed and not NO_ALPHABET.match(c) and len(_decomposed(c)) == 1)
 
 
 def lookalike_groups(spark: SparkSession) -> tuple[str, ...]:
@@ -140,32 +142,82 @@ def representatives(counts: dict[str, int], groups: tuple[str, ...] = ()) -> dic
 
 
 class Rewriter:
-    """Rewrites texts to their representative form: an automaton over all members, greedy from the left, longest first."""
+    """Rewrites texts to their representative form, greedily from the left, the longest member first.
+
+    An automaton finds the members of several code points. Members of one code point are what is left between those:
+    they can't overlap anything, so a table indexed by code point rewrites them in all texts of a batch at once.
+    """
 
     def __init__(self, to: dict[str, str]):
-        self.automaton = ahocorasick.Automaton()
         self.ascii_fixed = not any(x.isascii() for x in to)
-        self.empty = {x for x, y in to.items() if not y}
+        self.hidden, self.table = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        self.longer: dict[str, str] = {}
+        self.automaton = ahocorasick.Automaton()
         for x, y in to.items():
-            self.automaton.add_word(x, (len(x), y))
-        self.automaton.make_automaton()
-        self.hidden = str.maketrans({x: None for x in self.empty if len(x) == 1})
+            if len(x) > 1:
+                self.automaton.add_word(x, (len(x), y))
+            elif not y:
+                self.hidden[ord(x)] = True
+            elif len(y) == 1:
+                self.table[ord(x)] = ord(y)
+            else:
+                self.longer[x] = y
+        self.strings = len(self.automaton) > 0
+        if self.strings:
+            self.automaton.make_automaton()
+        self.becomes_longer = re.compile("[" + re.escape("".join(sorted(self.longer))) + "]") if self.longer else None
 
     def __call__(self, text: str) -> str:
-        if self.ascii_fixed and text.isascii():
-            return text
-        text = _decomposed(text.translate(self.hidden))  # marks meet their letters only without what hides between them
-        if self.ascii_fixed and text.isascii():
-            return text
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[str]:
+        """The forms of several texts."""
+        out = list(texts)
+        at = [k for k, x in enumerate(texts) if not (self.ascii_fixed and x.isascii())]
+        joined = _BETWEEN.join([texts[k] for k in at])
+        if joined.count(_BETWEEN) != max(0, len(at) - 1):  # a text holds the sign that parts them: each on its own
+            parts = [self._form(texts[k]) for k in at]
+        else:
+            parts = self._form(joined).split(_BETWEEN)
+        for k, form in zip(at, parts):
+            out[k] = form
+        return out
+
+    def _form(self, text: str) -> str:
+        points = _points(text)
+        hides = self.hidden[points]
+        if hides.any():  # marks meet their letters only without what hides between them
+            text = _text(points[~hides])
+        text = _decomposed(text)
+        if not self.strings:
+            return _decomposed(self._single(text))
         out, at = [], 0
         for end, (n, y) in self.automaton.iter_long(text):
             start = end - n + 1
-            out.append(text[at:start])
-            out.append(y)
+            out += (self._single(text[at:start]), y)
             at = end + 1
-        out.append(text[at:])
+        out.append(self._single(text[at:]))
         return _decomposed("".join(out))
 
+    def _single(self, text: str) -> str:
+        points = _points(text)
+        changed = self.table[points]
+        if not np.array_equal(changed, points):
+            text = _text(changed)
+        return self.becomes_longer.sub(lambda m: self.longer[m.group()], text) if self.becomes_longer else text
+
+
+#: A noncharacter that parts texts which are rewritten together.
+_BETWEEN = "\U0010ffff"
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
 
 def member_counts(records: DataFrame, text: str = "text") -> dict[str, int]:
     """How often each class member occurs in all texts: at most as many rows as there are members reach the driver."""
@@ -200,9 +252,10 @@ def canonical_text(records: DataFrame, key: str = "id", text: str = "text", coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = Rewriter(to)
-        for batch in batches:
-            forms = [None if x is None else rewrite(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=[key, text, "canonical"])
+        for part in (x for batch in batches for x in sliced(batch, 1)):
+            texts = part.column(1).to_pylist()
+            forms = [None if x is None else form for x, form in zip(texts, rewrite.many([x or "" for x in texts]))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forms, pa.string())], names=[key, text, "canonical"])
 
     return records.select(key, text).mapInArrow(run, f"`{key}` {key_type}, `{text}` string, canonical string")
 
@@ -216,10 +269,11 @@ def spelled(records: DataFrame, key: str = "id", text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = Rewriter(to)
-        for batch in batches:
+        for part in (x for batch in batches for x in sliced(batch, 1)):
             ids, digests = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if x and i is not None and (form := rewrite(x)):
+            texts = part.column(1).to_pylist()
+            for i, x, form in zip(part.column(0).to_pylist(), texts, rewrite.many([x or "" for x in texts])):
+                if form and i is not None:
                     ids.append(i)
                     digests.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest() + hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest())
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 3)

@@ -50,3 +50,23 @@ def last_run(table: pa.Table, keys: Sequence[str]) -> int:
         if len(differs):
             low = max(low, int(differs[-1]) + 1)
     return low
+
+
+def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids), k columns: the best of each row by the score rounded to 9 decimals, then the smaller id.
+
+    Rows with fewer finite scores are filled up with -inf. Only what reaches the k-th best score is sorted.
+    """
+    n = scores.shape[1]
+    wanted = scores > -np.inf
+    if n > k:
+        wanted &= scores >= np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1] - 2e-9
+    row, column = np.nonzero(wanted)
+    s, i = scores[row, column], np.broadcast_to(ids, scores.shape)[row, column]
+    order = np.lexsort((i, -np.round(s, 9), row))
+    row, s, i = row[order], s[order], i[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    out_s, out_i = np.full((len(scores), k), -np.inf), np.zeros((len(scores), k), np.int64)
+    out_s[row[keep], place[keep]], out_i[row[keep], place[keep]] = s[keep], i[keep]
+    return out_s, out_i

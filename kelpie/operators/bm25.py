@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.functions.runs import best_of_rows
 from kelpie.functions.scalars import K1, PAIR_WEIGHT, B, idf, saturation
 from kelpie.functions.text import bm25_text, raw_words, tokens
 from kelpie.operators.vector import ranked
@@ -16,8 +17,12 @@ from kelpie.session import written
 
 #: Tokens of a query that count, and the pruning budget: records that kept tokens may touch, as a share and at least.
 MOST_TOKENS, BUDGET_SHARE, BUDGET_LEAST = 100, 0.02, 1000
-#: Queries whose weights go to the tasks at once: terms x queries doubles, 100 x 128 x 128 x 8 bytes at most.
-QUERIES_AT_ONCE = 128
+#: Queries whose weights go to the tasks at once: terms x queries doubles, 100 x 192 x 192 x 8 bytes at most.
+QUERIES_AT_ONCE = 192
+#: Blocks of queries up to which each is a scan of its own; more queries meet the postings by term.
+MOST_BLOCKS = 8
+#: Distinct terms of the queries that are sent to every task, to drop other terms before the shuffle.
+MOST_TERMS_SENT = 200_000
 #: Records scored at once; fewer in a substring search, where a record holds more of the terms.
 ROWS_AT_ONCE, SUBSTRING_ROWS = 2000, 250
 #: Candidates of the first stage: ranked ones, and unranked ones that hold all tokens.
@@ -42,9 +47,16 @@ def postings(tokenised: DataFrame) -> DataFrame:
     return tokenised.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def document_frequencies(tokenised: DataFrame) -> DataFrame:
-    """(term, df), each record counted once: distinct within the row, so only one shuffle, pre-aggregated."""
-    return tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(tokenised: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, df), each record counted once: distinct within the row, so only one shuffle, pre-aggregated.
+
+    ``only`` (term) restricts the terms, before the shuffle where they are few enough to be sent to every task.
+    """
+    rows = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    if only is not None:
+        few = only.select("term").distinct()
+        rows = rows.join(F.broadcast(few) if few.limit(MOST_TERMS_SENT + 1).count() <= MOST_TERMS_SENT else few, "term", "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(tokenised: DataFrame) -> DataFrame:
@@ -63,6 +75,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return own.groupBy("qid", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
 
 
+def single_weights(queries: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """(qid, term, w, avgdl): what each term of each query weighs, written once for all blocks of queries."""
+    terms = written(query_terms(queries), "terms")
+    stats = corpus_stats(tokenised)  # a single row
+    weights = terms.join(document_frequencies(tokenised, terms), "term").join(F.broadcast(stats))
+    return written(weights.select("qid", "term", (F.col("qtf") * idf(F.col("df"), F.col("total"))).alias("w"), "avgdl"), "weights")
+
+
 def single_stage(queries: DataFrame, tokenised: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) by BM25 over all records; a token the query repeats counts as often.
 
@@ -71,16 +91,15 @@ def single_stage(queries: DataFrame, tokenised: DataFrame, k: int = 10, allowed:
 
     The weights of a block of QUERIES_AT_ONCE queries, at most MOST_TOKENS terms each, go to every task, which scores
     its records batch by batch as a product of record and query weights and passes on its k best. Postings are never
-    shuffled, so a term that a third of all records hold costs no more than another; further queries make further
-    blocks, each a scan of its own.
+    shuffled, so a term that a third of all records hold costs no more than another. Beyond MOST_BLOCKS blocks the
+    queries' terms meet the postings in a join by term instead.
     """
-    terms = query_terms(queries)
-    df = document_frequencies(tokenised).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(tokenised)  # a single row
-    weights = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf(F.col("df"), F.col("total"))).alias("w"), "avgdl")
-    n = queries.select("qid").distinct().count()
-    blocks = max(1, -(-n // QUERIES_AT_ONCE))
+    weights = single_weights(queries, tokenised)
     rows = tokenised if allowed is None else tokenised.join(allowed.select("id").distinct(), "id", "left_semi")
+    blocks = _blocks_of(weights)
+    if blocks > MOST_BLOCKS:
+        parts = postings(rows).join(weights, "term").select("qid", "id", (F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
+        return ranked(parts.groupBy("qid", "id").agg(F.sum("part").alias("score")).where("score > 0"), k, F.col("id").asc())
     out = None
     for got in _blocks(weights, blocks):
         found = _score_block(got, rows, k)
@@ -88,50 +107,114 @@ def single_stage(queries: DataFrame, tokenised: DataFrame, k: int = 10, allowed:
     return ranked(out, k, F.col("id").asc())
 
 
+def _blocks_of(weights: DataFrame) -> int:
+    return max(1, -(-weights.select("qid").distinct().count() // QUERIES_AT_ONCE))
+
+
+def _block(block: int, blocks: int) -> Column:
+    return F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block
+
+
 def _blocks(weights: DataFrame, blocks: int) -> Iterator[pa.Table]:
-    if blocks == 1:
-        yield weights.toArrow()
-        return
     for block in range(blocks):
-        yield weights.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+        yield (weights.where(_block(block, blocks)) if blocks > 1 else weights).toArrow()
+
 
+def _matrix(table: pa.Table, qids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    w = np.zeros((n, len(qids)))
+    if table.num_rows:
+        w[rows, np.searchsorted(qids, table.column("qid").to_numpy())] = table.column("w").to_numpy()
+    return w
 
-def _score_block(weights: pa.Table, tokenised: DataFrame, k: int, rows: int = ROWS_AT_ONCE) -> DataFrame:
+
+def _score_block(weights: pa.Table, tokenised: DataFrame, k: int | None, rows: int = ROWS_AT_ONCE, pairs: pa.Table | None = None, least_dl: int = 0, least: float | None = None) -> DataFrame:
+    """(qid, id, score): of a block of queries and all rows the k best of each task; all scores above ``least`` for k None.
+
+    ``weights`` (qid, term, w, avgdl). With ``pairs`` (qid, a, b, w) adjacent tokens add to the score too. If the rows
+    have a column asks (queries), a row is scored for those only.
+    """
     qids = np.unique(weights.column("qid").to_numpy().astype(np.int64)) if weights.num_rows else np.empty(0, np.int64)
-    words = sorted(set(weights.column("term").to_pylist()))
-    place = {t: i for i, t in enumerate(words)}
-    w = np.zeros((len(words), len(qids)))
-    if weights.num_rows:
-        w[[place[t] for t in weights.column("term").to_pylist()], np.searchsorted(qids, weights.column("qid").to_numpy())] = weights.column("w").to_numpy()
-    avgdl = weights.column("avgdl")[0].as_py() if weights.num_rows else 1.0
-    shared = tokenised.sparkSession.sparkContext.broadcast((qids, place, w, avgdl))
+    terms = weights.column("term").to_pylist()
+    place = {t: i for i, t in enumerate(sorted(set(terms)))}
+    w = _matrix(weights, qids, np.array([place[t] for t in terms], np.int64), len(place))
+    avgdl = (weights.column("avgdl")[0].as_py() if weights.num_rows else None) or 1.0
+    keys, w2 = np.empty(0, np.int64), np.zeros((0, len(qids)))
+    if pairs is not None and pairs.num_rows:
+        own = np.array([place[a] * len(place) + place[b] for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())], np.int64)
+        keys, at = np.unique(own, return_inverse=True)
+        w2 = _matrix(pairs, qids, at, len(keys))
+    asked = "asks" in tokenised.columns
+    least = (-np.inf if asked else 0.0) if least is None else least
+    shared = tokenised.sparkSession.sparkContext.broadcast((qids, place, w, keys, w2, avgdl))
+
+    def part_of(cells: np.ndarray, dl: np.ndarray, w: np.ndarray, avgdl: float, n: int) -> np.ndarray:
+        """What (row, column) cells, one for each occurrence, add to the scores: rows x queries."""
+        out = np.zeros((n, w.shape[1]))
+        cell, tf = np.unique(cells, return_counts=True)
+        if len(cell):
+            doc, column = cell // len(w), cell % len(w)
+            sat = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            out[doc[start]] = np.add.reduceat(w[column] * sat[:, None], start, axis=0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, place, w, avgdl = shared.value
+        qids, place, w, keys, w2, avgdl = shared.value
         best_s, best_i = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
+
+        def out(s, i):
+            row, column = np.nonzero(s > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(i[row, column]), pa.array(s[row, column])], names=["qid", "id", "score"])
+
         for whole in batches:
             for at in range(0, whole.num_rows if len(qids) else 0, rows):
                 batch = whole.slice(at, rows)
-                ids, lists, dl = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy().astype(np.float64)
+                ids, lists, dl = batch.column(0).to_numpy(), batch.column(1), np.maximum(batch.column(2).to_numpy().astype(np.float64), least_dl)
                 term = np.array([place.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
                 doc = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                cell, tf = np.unique(doc[term >= 0] * len(w) + term[term >= 0], return_counts=True)
-                if not len(cell):
-                    continue
-                doc, term = cell // len(w), cell % len(w)
-                sat = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-                start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                s = np.add.reduceat(w[term] * sat[:, None], start, axis=0).T
-                s[s <= 0] = -np.inf
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids[doc[start]], (len(qids), len(start)))], 1)
-                if k < s.shape[1]:
-                    order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                best_s, best_i = s, i
-        row, column = np.nonzero(np.isfinite(best_s))
-        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, column]), pa.array(best_s[row, column])], names=["qid", "id", "score"])
-
-    return tokenised.select(F.col("id").cast("bigint"), "tokens", "dl").mapInArrow(run, "qid bigint, id bigint, score double")
+                known = term >= 0
+                s = part_of(doc[known] * max(1, len(w)) + term[known], dl, w, avgdl, len(ids))
+                if len(keys):
+                    both = known[1:] & known[:-1] & (doc[1:] == doc[:-1])
+                    found = term[:-1][both] * len(w) + term[1:][both]
+                    column = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    hit = keys[column] == found
+                    s += part_of(doc[:-1][both][hit] * len(keys) + column[hit], dl, w2, avgdl, len(ids))
+                s = np.where(s > least, s, -np.inf).T
+                if asked:
+                    asks = batch.column(3)
+                    mine = np.full(s.shape, -np.inf)
+                    row = np.searchsorted(qids, asks.flatten().to_numpy())
+                    column = np.repeat(np.arange(len(ids)), asks.value_lengths().to_numpy(zero_copy_only=False))
+                    mine[row, column] = s[row, column]
+                    s = mine
+                if k is None:
+                    yield out(s, np.broadcast_to(ids, s.shape))
+                else:
+                    s, i = best_of_rows(s, ids, k)
+                    best_s, best_i = best_of_rows(np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1), k)
+        if k is not None:
+            yield out(best_s, best_i)
+
+    columns = [F.col("id").cast("bigint"), "tokens", "dl"] + (["asks"] if asked else [])
+    return tokenised.select(*columns).mapInArrow(run, "qid bigint, id bigint, score double")
+
+
+def _asked_of(members: DataFrame, tokenised: DataFrame, block: int, blocks: int) -> DataFrame:
+    """Rows with the queries of a block (QUERIES_AT_ONCE at most) that ask for them, each row once."""
+    own = members.where(_block(block, blocks)) if blocks > 1 else members
+    return tokenised.join(own.groupBy("id").agg(F.collect_set(F.col("qid").cast("bigint")).alias("asks")), "id").select("id", "tokens", "dl", "asks")
+
+
+def member_scores(queries: DataFrame, members: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """(qid, id, score): the single-stage scores of given pairs (qid, id) only; pairs without a query token are left out."""
+    weights = single_weights(queries, tokenised)
+    members = members.join(weights.select("qid").distinct(), "qid", "left_semi").select("qid", "id").distinct()
+    blocks, out = _blocks_of(weights), None
+    for block, got in enumerate(_blocks(weights, blocks)):
+        found = _score_block(got, _asked_of(members, tokenised, block, blocks), None, least=0.0)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def pruned_terms(queries: DataFrame, tokenised: DataFrame) -> DataFrame:
@@ -140,7 +223,8 @@ def pruned_terms(queries: DataFrame, tokenised: DataFrame) -> DataFrame:
     Terms no record has cost nothing and are kept; the rarest matching term is always kept; the first term beyond the
     budget ends it. Equally rare terms come in query order.
     """
-    terms = query_terms(queries).join(document_frequencies(tokenised), "term", "left").na.fill(0, ["df"])
+    terms = written(query_terms(queries), "terms")
+    terms = terms.join(document_frequencies(tokenised, terms), "term", "left").na.fill(0, ["df"])
     w = Window.partitionBy("qid").orderBy("df", "pos")
     so_far = F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, 0))
     nth = F.sum((F.col("df") > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -163,26 +247,24 @@ def full_score(queries: DataFrame, candidates: DataFrame, tokenised: DataFrame,
     other in the query, with the mean of their idf. Candidates without any token score 0 (left out if
     ``positive_only``).
     """
-    df = document_frequencies(tokenised)
+    terms = written(query_terms(queries).select("qid", "term"), "terms")
     stats = filled_stats(tokenised)
-    weight = query_terms(queries).select("qid", "term").join(df, "term", "left").na.fill(0, ["df"]).join(F.broadcast(stats)).select("qid", "term", idf(F.col("df"), F.col("total")).alias("idf"), "avgdl")
+    known = terms.join(document_frequencies(tokenised, terms), "term", "left").na.fill(0, ["df"]).join(F.broadcast(stats))
+    weights = written(known.select("qid", "term", idf(F.col("df"), F.col("total")).alias("w"), "avgdl"), "weights")
     follows = queries.select("qid", F.explode(F.array_distinct(F.filter(_pairs_of(F.slice(tokens(F.col("qtext")), 1, MOST_TOKENS)), lambda p: p["a"] != p["b"]))).alias("p")).select("qid", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    first, second = (weight.select("qid", F.col("term").alias(x), F.col("idf").alias(f"idf_{x}"), *(["avgdl"] if x == "a" else [])) for x in ("a", "b"))
-    pair_weight = follows.join(first, ["qid", "a"]).join(second, ["qid", "b"]).select("qid", "a", "b", ((F.col("idf_a") + F.col("idf_b")) / 2).alias("idf"), "avgdl")
+    first, second = (weights.select("qid", F.col("term").alias(x), F.col("w").alias(f"w_{x}")) for x in ("a", "b"))
+    pairs = follows.join(first, ["qid", "a"]).join(second, ["qid", "b"]).select("qid", "a", "b", (F.lit(PAIR_WEIGHT) * (F.col("w_a") + F.col("w_b")) / 2).alias("w"))
     members = candidates.select("qid", "id").distinct()
-    own = members.join(tokenised, "id")
-    by_term = own.select("qid", "id", "dl", F.explode("tokens").alias("term")).join(weight, ["qid", "term"]).groupBy("qid", "id", "term").agg(*_once(F.lit(1.0)))
-    pairs = own.select("qid", "id", "dl", F.explode(_pairs_of(F.col("tokens"))).alias("p")).select("qid", "id", "dl", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    by_pair = pairs.join(pair_weight, ["qid", "a", "b"]).groupBy("qid", "id", "a", "b").agg(*_once(F.lit(PAIR_WEIGHT)))
-    parts = by_term.select("qid", "id", "part").unionByName(by_pair.select("qid", "id", "part")).groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    scored = members.join(parts, ["qid", "id"], "left").na.fill(0.0, ["score"])
-    return ranked(scored.where("score > 0") if positive_only else scored, k, F.col("id").asc())
-
-
-def _once(weight: Column) -> list[Column]:
-    """What one term or pair adds to one candidate, from its rows."""
-    dl = F.greatest(F.lit(1), F.first("dl"))
-    return [(weight * F.first("idf") * saturation(F.count("*"), dl, F.first("avgdl"))).alias("part")]
+    blocks, out = _blocks_of(weights), None
+    pairs = written(pairs, "pairs")
+    for block, got in enumerate(_blocks(weights, blocks)):
+        own = _asked_of(members.join(weights.select("qid").distinct(), "qid", "left_semi"), tokenised, block, blocks)
+        found = _score_block(got, own, k, pairs=(pairs.where(_block(block, blocks)) if blocks > 1 else pairs).toArrow(), least_dl=1, least=0.0 if positive_only else None)
+        out = found if out is None else out.unionByName(found)
+    if not positive_only:  # queries without any token score 0 everywhere
+        mute = members.join(weights.select("qid").distinct(), "qid", "left_anti").join(tokenised.select("id"), "id", "left_semi")
+        out = out.unionByName(mute.select(F.col("qid").cast("bigint"), F.col("id").cast("bigint"), F.lit(0.0).alias("score")))
+    return ranked(out, k, F.col("id").asc())
 
 
 def candidates(queries: DataFrame, tokenised: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -242,27 +324,20 @@ def trigram(queries: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _occurrences(own: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, tokens, dl): every place of a record where one of the terms stands, overlapping ones too."""
-    lengths: dict[str, set[int]] = {}
-    for t in terms:
-        lengths.setdefault(t[:3], set()).add(len(t))
-    shared = own.sparkSession.sparkContext.broadcast(({g: sorted(n) for g, n in lengths.items()}, set(terms)))
+    """(id, tokens, dl): every place of a record where one of the terms stands, overlapping ones too, in one pass over its text."""
+    shared = own.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, terms = shared.value
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t in shared.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                found = []
-                for low in batch.column(1).to_pylist():
-                    here: list[str] = []
-                    for i in range(len(low) - 2):
-                        for n in lengths.get(low[i : i + 3], ()):
-                            if i + n > len(low):
-                                break
-                            if (t := low[i : i + n]) in terms:
-                                here.append(t)
-                    found.append(here)
+                found = [[t for _, t in automaton.iter(low)] if len(automaton) else [] for low in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["id", "tokens", "dl"])
 
     return own.mapInArrow(run, "id bigint, tokens array<string>, dl int")

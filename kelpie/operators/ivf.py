@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.functions.runs import best_of_rows
 from kelpie.functions.scalars import auto_nlist
 from kelpie.functions.vectors import cosine, usable
 from kelpie.operators.vector import QUERY_BYTES, ranked
@@ -110,10 +111,8 @@ def _probe_block(queries: DataFrame, wanted: DataFrame, lists: DataFrame, k: int
                 asking, rows = by_list.get(int(one)), np.flatnonzero(of == one)
                 if asking is None:
                     continue
-                s = np.concatenate([best_s[asking], q[asking] @ x[rows].T], 1)
-                i = np.concatenate([best_i[asking], np.broadcast_to(ids[rows], (len(asking), len(rows)))], 1)
-                order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-                best_s[asking], best_i[asking] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                s, i = best_of_rows(q[asking] @ x[rows].T, ids[rows], k)
+                best_s[asking], best_i[asking] = best_of_rows(np.concatenate([best_s[asking], s], 1), np.concatenate([best_i[asking], i], 1), k)
         row, place = np.nonzero(np.isfinite(best_s))
         yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, place]), pa.array(best_s[row, place])], names=["qid", "id", "score"])
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.functions.runs import best_of_rows
 from kelpie.functions.vectors import usable
 
 #: Bytes of query vectors that go to every task at once; more queries are taken in blocks of this size.
@@ -58,8 +59,7 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        best_s = np.empty((len(q), 0))
-        best_i = np.empty((len(q), 0), np.int64)
+        best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
@@ -69,9 +69,8 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_
             s = q @ x.T
             if but_itself:
                 s[qids[:, None] == ids[None, :]] = -np.inf
-            s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-            order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            s, i = best_of_rows(s, ids, k)
+            best_s, best_i = best_of_rows(np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1), k)
         row, place = np.nonzero(np.isfinite(best_s))
         yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, place]), pa.array(best_s[row, place])], names=["qid", "id", "score"])
 

@@ -594,8 +594,8 @@ def rx_sib_text(spark: SparkSession, root: str) -> DataFrame:
     hits, r = _hits(spark, root)
     t = tokenised(spark, root)
     kept = bm25.pruned_terms(text_queries(spark, root), t).where("kept").groupBy("qid").agg(F.array_join(F.collect_list("term"), " ").alias("qtext"))
-    own = expand.siblings(hits, r).select("sid").distinct().withColumnRenamed("sid", "id")
-    scores = bm25.single_stage(kept, t, 2**31 - 1, own)
+    own = expand.siblings(hits, r).select("qid", F.col("sid").alias("id"))
+    scores = bm25.member_scores(kept, own, t)
     return expand.matching_siblings(hits, scores, r, 2).withColumn("score", F.round("score", 6))
 
 

@@ -299,7 +299,7 @@ def trigram_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.slice(raw_words(F.col("qtext")), 1, MOST_TOKENS)).alias("token"))
 
 
-def trigram(queries: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
+def trigram(queries: DataFrame, records: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) of substring search for the tokens of each query (qid, token), by BM25 over trigrams.
 
     A query's score is the sum over all its tokens; one it repeats counts as often. tf counts overlapping occurrences
@@ -318,7 +318,8 @@ def trigram(queries: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
         asks = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
         found = _occurrences(own, [r.term for r in asks.select("term").distinct().toLocalIterator()])
         weights = asks.join(document_frequencies(found), "term").join(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf(F.col("df"), F.col("total"))).alias("w"), "avgdl")
-        best = _score_block(weights.toArrow(), found, k, SUBSTRING_ROWS)
+        hits = found if allowed is None else found.join(allowed.select("id").distinct(), "id", "left_semi")
+        best = _score_block(weights.toArrow(), hits, k, SUBSTRING_ROWS)
         out = best if out is None else out.unionByName(best)
     return ranked(out, k, F.col("id").asc())
 

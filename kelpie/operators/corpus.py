@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +14,16 @@ SUMMARY_WORDS, WINDOW_WORDS, TAIL_WORDS, MOST_WINDOWS = 300, 800, 200, 10
 LEAD_WORDS, BODY_WORDS, HEADING_WORDS, BATCH_ROWS = 60, 2400, 10, 250
 
 
+#: Words of a sentence that becomes a query, and chunks of a document that is asked about.
+SENTENCE_WORDS, LEAST_CHUNKS = (8, 40), 3
+# Signs at whose end a line is no heading; white space.
+CLOSING = ".!?:;,\"”)']"
+WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
 def words(text: Column) -> Column:
     """The blank-separated words; none for null and blank texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE + "+"), lambda w: w != "")
 
 
 def lead_summary(text: Column, n: int = SUMMARY_WORDS) -> Column:
@@ -21,29 +31,29 @@ def lead_summary(text: Column, n: int = SUMMARY_WORDS) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 
 
-def blocks(text: Column) -> Column:
-    """The blocks between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
+def lines(text: Column) -> Column:
+    """The lines, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")), lambda x: x != "")
 
 
-def is_heading(block: Column) -> Column:
-    """A heading has at most HEADING_WORDS words and doesn't end in closing punctuation."""
-    return (F.size(words(block)) <= HEADING_WORDS) & ~block.rlike(r"[.!?:;,]\s*$")
+def is_heading(line: Column) -> Column:
+    """A heading is a line of at most HEADING_WORDS words that doesn't end in a closing sign."""
+    return (line != "") & (F.size(words(line)) <= HEADING_WORDS) & ~F.right(line, F.lit(1)).isin(list(CLOSING))
 
 
 def lead_and_body(text: Column) -> tuple[Column, Column]:
-    """(blocks before the first heading that follows a block, the blocks from there on without headings)."""
-    b = blocks(text)
-    marked = F.transform(b, is_heading)
-    start = F.array_position(F.transform(b, lambda x: F.lit(True)), True)
-    first = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.lit(0),
-        lambda s, i: F.when((s == 0) & (i > 1) & F.coalesce(F.get(marked, i - 1), F.lit(False)), i).otherwise(s),
-    )
-    end = F.when(first == 0, F.size(b)).otherwise(first - 1)
-    lead = F.filter(F.slice(b, F.lit(1), F.greatest(end, F.lit(0))), lambda x: ~is_heading(x))
-    body = F.when(first == 0, F.array().cast("array<string>")).otherwise(F.filter(F.slice(b, F.greatest(first, F.lit(1)), F.size(b)), lambda x: ~is_heading(x)))
-    return F.when(start.isNull(), lead).otherwise(lead), body
+    """(lines before the first heading; the other lines after it, each below the headings right above it).
+
+    So a block of the body never ends in a bare heading, and headings with nothing below are left out.
+    """
+    own = lines(text)
+    marked = F.transform(own, is_heading)
+    first = F.array_position(marked, True)
+    plain = F.filter(F.transform(marked, lambda h, i: F.when(~h, i + 1)), lambda i: i.isNotNull())
+    spans = F.filter(F.transform(plain, lambda i, j: F.struct(F.when(j > 0, F.get(plain, j - 1)).otherwise(0).alias("a"), i.alias("b"))), lambda x: x["b"] > first)
+    body = F.transform(spans, lambda x: F.array_join(F.slice(own, x["a"] + 1, x["b"] - x["a"]), "\n"))
+    none = F.array().cast("array<string>")
+    return F.when(first == 0, own).otherwise(F.slice(own, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))), F.when(first == 0, none).otherwise(body)
 
 
 def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, most: int | None = MOST_WINDOWS) -> Column:
@@ -68,21 +78,72 @@ def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, m
     return F.aggregate(blocks, state, step, finish)
 
 
+def shaped(documents: DataFrame, lead: int = LEAD_WORDS, body: int = BODY_WORDS, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, most: int | None = MOST_WINDOWS, summary: int = SUMMARY_WORDS) -> DataFrame:
+    """(id, doc_id, kind, title, text): the records of the documents (doc_id, title, text) that make an article.
+
+    Left out are lists (by their title), documents with fewer words before the first heading or after it, and those
+    with fewer than two windows. An article gives a summary of its lead and its windows as chunks. Null titles and
+    texts count as empty.
+    """
+    first, rest = lead_and_body(F.col("text"))
+    count = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, x: s + F.size(words(x)))
+    own = documents.where(~F.coalesce(F.col("title"), F.lit("")).startswith("List of")).select("doc_id", F.coalesce("title", F.lit("")).alias("title"), first.alias("lead"), rest.alias("body"))
+    own = own.where((count(F.col("lead")) >= lead) & (count(F.col("body")) >= body))
+    own = own.withColumn("chunks", windows(F.col("body"), close, tail, most)).where("size(chunks) >= 2")
+    parts = F.concat(
+        F.array(F.struct(F.concat(F.lit("w"), "doc_id").alias("id"), F.lit("summary").alias("kind"), lead_summary(F.array_join("lead", " "), summary).alias("text"))),
+        F.transform("chunks", lambda c, i: F.struct(F.concat(F.lit("w"), "doc_id", F.lit("#"), i).alias("id"), F.lit("chunk").alias("kind"), c.alias("text"))),
+    )
+    return own.select("doc_id", "title", F.explode(parts).alias("r")).select("r.id", "doc_id", "r.kind", "title", "r.text")
+
+
+def made_queries(records: DataFrame, length: tuple[int, int] = SENTENCE_WORDS, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
+    """(kind, doc_id, target, qtext): questions about shaped records, at most two for each document.
+
+    summary: the title, aimed at the summary. indoc: a sentence of a chunk without its headings, aimed at that chunk; of
+    documents with enough chunks, the sentence of least digest among those of the right length.
+    """
+    titles = records.where("kind = 'summary'").select(F.lit("summary").alias("kind"), "doc_id", F.col("id").alias("target"), F.col("title").alias("qtext"))
+    enough = records.where("kind = 'chunk'").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_chunks).select("doc_id")
+    paragraph = F.filter(F.split("text", "\n"), lambda x: ~is_heading(x))
+    cut = F.flatten(F.transform(paragraph, lambda x: F.split(F.regexp_replace(x, rf"([.!?]){WHITE}+", "$1\n"), "\n")))
+    sentence = records.where("kind = 'chunk'").join(enough, "doc_id", "left_semi").select("doc_id", F.col("id").alias("target"), F.explode(cut).alias("qtext"))
+    n = F.size(words(F.col("qtext")))
+    fit = sentence.where(n.between(*length)).withColumn("_d", F.md5(F.concat_ws("/", "target", "qtext")))
+    least = fit.groupBy("doc_id").agg(F.min(F.struct("_d", "target", "qtext")).alias("x"))
+    return titles.unionByName(least.select(F.lit("indoc").alias("kind"), "doc_id", F.col("x.target").alias("target"), F.col("x.qtext").alias("qtext")))
+
+
 def first_by_key(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Rows with a text, the first of each key by ``order``."""
-    w = Window.partitionBy(key).orderBy(order)
-    kept = rows.where(F.col(text).isNotNull() & (F.trim(text) != ""))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key by ``order``; keys and texts are trimmed, rows without either are left out."""
+    trimmed = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"^{WHITE}+|{WHITE}+$", "")
+    kept = rows.withColumn(key, trimmed(key)).withColumn(text, trimmed(text)).where((F.col(key) != "") & (F.col(text) != ""))
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
 def batches(counts: DataFrame, by: str, key: str, n: str = "n", least: int = BATCH_ROWS) -> DataFrame:
-    """(by, key, batch): whole documents packed in key order into batches of about ``least`` rows, within each ``by``.
+    """(by, key, batch): whole documents packed in key order into batches of at least ``least`` rows, within each ``by``.
 
-    A document belongs to the batch in which its first row falls, so no running state is needed and each ``by`` is
-    packed on its own.
+    A batch takes documents until it has enough rows; the next document begins the next one. Where a batch ends depends
+    on the one before, so the rows of one ``by`` are streamed in order through one task, which holds a counter only.
     """
-    w = Window.partitionBy(by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(by, key, F.floor(F.coalesce(F.sum(n).over(w), F.lit(0)) / least).cast("bigint").alias("batch"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, number = object(), 0, 0
+        for part in parts:
+            out = []
+            for group, rows in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if group != now:
+                    now, held, number = group, 0, 0
+                elif held >= least:
+                    held, number = 0, number + 1
+                held += rows
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int64())], names=[by, key, "batch"])
+
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in (by, key)}
+    ordered = counts.select(by, key, F.col(n).cast("bigint").alias(n)).repartition(by).sortWithinPartitions(by, key)
+    return ordered.mapInArrow(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, batch bigint")
 
 
 def recall(hits: DataFrame, truth: DataFrame) -> DataFrame:

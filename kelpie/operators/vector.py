@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.runs import best_of_rows
+from kelpie.functions.scalars import rescore_depth
 from kelpie.functions.vectors import usable
 
 #: Bytes of query vectors that go to every task at once; more queries are taken in blocks of this size.
 QUERY_BYTES = 32 << 20
+#: Ids of allowed records that are sent to every task, 8 bytes each; more are joined.
+MOST_IDS_SENT = 1 << 20
 
 
 def ranked(scored: DataFrame, k: int, *ties: Column, partition: str = "qid", score: str = "score") -> DataFrame:
@@ -30,13 +33,13 @@ def unit_rows(vectors: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return vectors.where(usable(F.col(vec), dim) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(vec).cast("array<double>")).alias("vec"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, but_itself: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, but_itself: bool = False, only: np.ndarray | None = None) -> DataFrame:
     """(qid, id, score, rank): the k vectors of greatest cosine to each query; ties by smaller id.
 
     ``queries`` (qid, vec) and ``vectors`` (id, vec). Every task multiplies its vectors with a block of queries and
     passes on its own k best, then a window merges them. The block's bytes are bounded; further queries make further
     blocks, each a scan of its own. Unusable vectors (null, wrong length, non-finite, zero) take part on neither side.
-    ``but_itself`` leaves out hits with id = qid. No queries or no vectors: no rows.
+    ``but_itself`` leaves out hits with id = qid, ``only`` (sorted ids) allows no others. No queries or no vectors: no rows.
     """
     rows = queries.where(usable(F.col("vec"), dim)).select("qid", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["qid"])
     per_block = max(1, QUERY_BYTES // (8 * dim + 8))
@@ -45,24 +48,28 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, bu
     out = None
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else rows
-        scored = _block_scores(part, vectors, k, dim, but_itself)
+        scored = _block_scores(part, vectors, k, dim, but_itself, only)
         out = scored if out is None else out.unionByName(scored)
     return ranked(out, k, F.col("id").asc())
 
 
-def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_itself: bool) -> DataFrame:
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_itself: bool, only: np.ndarray | None) -> DataFrame:
     got = queries.orderBy("qid").toArrow()
     qids = got.column("qid").to_numpy().astype(np.int64)
     q = np.array(got.column("vec").to_pylist(), np.float64).reshape(-1, dim)
     q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-    shared = queries.sparkSession.sparkContext.broadcast((qids, q))
+    shared = queries.sparkSession.sparkContext.broadcast((qids, q, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
+        qids, q, only = shared.value
         best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
+            if only is not None:
+                ids = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(only, ids), max(0, len(only) - 1))
+                batch = batch.filter(pa.array(only[at] == ids if len(only) else np.zeros(len(ids), bool)))
             ids = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -79,13 +86,25 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_
 
 
 def search(queries: DataFrame, records: DataFrame, vecs: DataFrame, k: int = 10, scope: Column | None = None, dim: int = 64) -> DataFrame:
-    """Vector search among the records that a condition allows; records without a usable vector are never hits."""
-    allowed = records.where(scope) if scope is not None else records
-    return top_k(queries, vecs.join(allowed.select("id"), "id", "left_semi"), k, dim)
+    """Vector search among the records that a condition allows; records without a usable vector are never hits.
+
+    MOST_IDS_SENT allowed ids at most are sent to every task, so vectors stay where they lie; more meet the vectors in a
+    join by id. Repeated records count once.
+    """
+    if scope is None:
+        return top_k(queries, vecs, k, dim)
+    allowed = records.where(scope).select(F.col("id").cast("bigint").alias("id"))
+    few = allowed.limit(MOST_IDS_SENT + 1).toArrow()
+    if few.num_rows <= MOST_IDS_SENT:
+        return top_k(queries, vecs, k, dim, only=np.unique(few.column("id").drop_null().to_numpy()))
+    return top_k(queries, vecs.join(allowed, "id", "left_semi"), k, dim)
 
 
-def quantised_search(queries: DataFrame, vecs: DataFrame, k: int = 10, dim: int = 64, bits: int = 4, depth: int = 50) -> DataFrame:
-    """Search over scalar-quantised codes: ``depth`` hits by the codes, ranked again by the stored vectors."""
+def quantised_search(queries: DataFrame, vecs: DataFrame, k: int = 10, dim: int = 64, bits: int = 4, depth: int | None = None) -> DataFrame:
+    """Search over scalar-quantised codes: ``depth`` hits by the codes, ranked again by the stored vectors.
+
+    Without a depth it is that of the formula for k and the bits.
+    """
     from kelpie.functions.vectors import quantised
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +115,7 @@ def quantised_search(queries: DataFrame, vecs: DataFrame, k: int = 10, dim: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(y), pa.list_(pa.float64()))], names=["id", "vec"])
 
     rows = vecs.where(usable(F.col("vec"), dim)).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["id"])
+    depth = rescore_depth(k, 2**31, bits) if depth is None else depth
     rough = top_k(queries, rows.mapInArrow(coded, "id bigint, vec array<double>"), depth, dim).select("qid", "id")
     from kelpie.functions.vectors import cosine
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import metadata as meta
 from kelpie.functions import scalars, text, vectors
 from kelpie.operators import bm25, corpus, expand, filters, fusion, ivf, listing, shred, vector, writes
+from kelpie.operators import search as front
 from kelpie.plans import sqlparts as S
 from kelpie.session import written
 from kelpie.sources import embed, ingest
@@ -405,13 +406,13 @@ def ag_jobs(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {S.R}, {S.U}, l AS (SELECT u.* FROM u JOIN r USING (id) WHERE indexed = 1) {S.top(S.cosines('l'))}")
 def rv_flat(spark: SparkSession, root: str) -> DataFrame:
-    r = records(spark, root, "id", "type", "metadata", "doc_id", "indexed")
+    r = table(spark, root, "records", "id", "type", "metadata", "doc_id", "indexed")
     return scored(vector.search(vector_queries(spark, root), r, vecs(spark, root), 10, filters.in_scope("both"), DIM))
 
 
 def _vector_scope(name: str, scope: str, filt: dict, condition: str) -> None:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        r = records(spark, root, "id", "type", "metadata", "doc_id", "indexed")
+        r = table(spark, root, "records", "id", "type", "metadata", "doc_id", "indexed")
         return scored(vector.search(vector_queries(spark, root), r, vecs(spark, root), 10, filters.in_scope(scope, filt), DIM))
 
     run.__name__ = name
@@ -423,11 +424,37 @@ _vector_scope("rv_filter", "chunks", {"src": "wiki", "date": {"gte": "2028-01-01
 _vector_scope("rv_docid", "chunks", {"doc_id": "mail/archive-2031"}, "type = 'chunk' AND doc_id = 'mail/archive-2031'")
 
 
-@query()
+_GIVEN = f"""{S.U}, e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt({S.DOT.format(a='embedding', b='embedding')})) AS vec, label FROM embeddings), m AS (SELECT label, i, avg(vec[i]) AS x FROM e, range(1, 65) t(i) GROUP BY label, i),
+cc AS (SELECT label AS list_id, list(x ORDER BY i) AS c FROM m GROUP BY label), sc AS (SELECT u.id, list_id, list_dot_product(u.vec, c) / sqrt(list_dot_product(c, c)) AS s FROM u, cc),
+own AS (SELECT id, list_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, list_id) AS n FROM sc) WHERE n = 1),
+pb AS (SELECT id AS qid, list_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, list_id) AS n FROM sc WHERE id % 100 = 0) WHERE n <= 3)"""
+
+
+def _given_lists(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors in lists, centroids): the lists around the mean directions of the labelled embeddings."""
+    e = table(spark, root, "embeddings", "embedding", "label").select(vectors.l2norm(F.col("embedding")).alias("vec"), F.col("label").alias("list_id"))
+    means = e.select("list_id", F.posexplode("vec").alias("i", "x")).groupBy("list_id", "i").agg(F.avg("x").alias("x"))
+    rows = means.groupBy("list_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid")).orderBy("list_id").collect()  # a row for each label
+    c = np.array([r.centroid for r in rows])
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    of = [r.list_id for r in rows]
+    v = vecs(spark, root)
+    named = F.create_map(*[F.lit(x) for pair in enumerate(of) for x in pair])
+    return ivf.assign(v, c, DIM).withColumn("list_id", named[F.col("list_id")]), ivf.centroid_table(v, c).withColumn("list_id", named[F.col("list_id")])
+
+
+@query(f"WITH {_GIVEN} {S.top('(SELECT pb.qid, u.id, list_dot_product(q.vec, u.vec) AS score FROM pb JOIN own USING (list_id) JOIN u USING (id) JOIN u q ON q.id = pb.qid)')}")
 def rv_ivf(spark: SparkSession, root: str) -> DataFrame:
+    """The three nearest of given lists."""
+    return scored(ivf.search(vector_queries(spark, root), *_given_lists(spark, root), 10, 3))
+
+
+@query()
+def rv_ivf_trained(spark: SparkSession, root: str) -> DataFrame:
+    """Lists trained on the vectors, a quarter of them probed."""
     v = vecs(spark, root)
     centroids = lists_of(v)
-    return scored(ivf.search(vector_queries(spark, root), ivf.assign(v, centroids, DIM), ivf.centroid_table(v, centroids), 10))
+    return scored(ivf.search(vector_queries(spark, root), ivf.assign(v, centroids, DIM), ivf.centroid_table(v, centroids), 10, max(1, len(centroids) // 4)))
 
 
 _FEW = "SELECT id FROM r WHERE doc_id = 'ticket/2028/00000001'"
@@ -493,12 +520,17 @@ def _same_document(spark: SparkSession, root: str) -> DataFrame:
     return asked(r).select(F.col("id").alias("qid"), "doc_id").join(r, "doc_id").select("qid", "id")
 
 
-_CANDIDATES = f"""{_PRUNE}, kq AS (SELECT qid, term, 1 AS qtf FROM pr WHERE kept),
-c1 AS (SELECT qid, id FROM ({S.top(S.single(q='kq'), 500)})),
-c2 AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (SELECT qid, id FROM (SELECT qid, post.id, count(*) AS has FROM post JOIN q USING (term) GROUP BY qid, post.id) JOIN (SELECT qid, count(*) AS need FROM q GROUP BY qid) USING (qid) WHERE has = need)) WHERE n <= 1000),
+def _candidates(allowed: str = "") -> str:
+    among = f"WHERE id IN ({allowed})" if allowed else ""
+    return f"""{_PRUNE}, kq AS (SELECT qid, term, 1 AS qtf FROM pr WHERE kept),
+c1 AS (SELECT qid, id FROM ({S.top(S.single(allowed, q='kq'), 500)})),
+c2 AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (SELECT qid, id FROM (SELECT qid, post.id, count(*) AS has FROM post JOIN q USING (term) {among} GROUP BY qid, post.id) JOIN (SELECT qid, count(*) AS need FROM q GROUP BY qid) USING (qid) WHERE has = need)) WHERE n <= 1000),
 cand AS (SELECT * FROM c1 UNION SELECT * FROM c2)"""
 
 
+_CANDIDATES = _candidates()
+
+
 @query(f"WITH {S.index()}{_CANDIDATES} SELECT qid, id FROM cand")
 def st_cand_union(spark: SparkSession, root: str) -> DataFrame:
     return bm25.candidates(text_queries(spark, root), tokenised(spark, root))
@@ -566,6 +598,43 @@ def rh_relative(spark: SparkSession, root: str) -> DataFrame:
     return scored(fusion.relative(*_legs(spark, root), alpha=0.3))
 
 
+# --- searches under a scope and a filter
+
+_LATE = {"src": ["wiki", "mail"], "date": {"gte": "2027-06-01"}}
+_ALLOWED = f"al AS (SELECT id FROM r WHERE indexed = 1 AND type = 'chunk' AND coalesce({_src[1]} IN ('wiki', 'mail') AND ({_date[1]} >= '2027-06-01'), false))"
+_TEXT_LEG = f"""{S.index()}, {_ALLOWED}{_candidates('SELECT id FROM al')}{_PAIRS}, whole AS (SELECT qid, bool_and(kept) AS whole FROM pr GROUP BY qid),
+tx AS (SELECT * FROM {S.single('SELECT id FROM al')} WHERE qid IN (SELECT qid FROM whole WHERE whole) UNION ALL SELECT * FROM {_full('cand')} WHERE qid IN (SELECT qid FROM whole WHERE NOT whole))"""
+
+
+def _asks(spark: SparkSession, root: str, with_vectors: bool) -> DataFrame:
+    t = text_queries(spark, root).where(F.size(text.tokens(F.col("qtext"))) > 0)
+    if not with_vectors:
+        return t.withColumn("vec", F.lit(None).cast("array<double>"))
+    return t.join(vector_queries(spark, root), "qid")
+
+
+def _searched(spark: SparkSession, root: str, request: front.Request, with_vectors: bool) -> DataFrame:
+    r = records(spark, root, "id", "external_id", "doc_id", "type", "position", "text", "metadata", "indexed")
+    return front.search(_asks(spark, root, with_vectors), r, vecs(spark, root), request, tokenised(spark, root), DIM)
+
+
+@query(f"WITH {_TEXT_LEG} {S.top('tx')}")
+def rt_filter(spark: SparkSession, root: str) -> DataFrame:
+    """Text search in the chunks that a metadata filter allows; each query in one stage or two, as its tokens need."""
+    return scored(_searched(spark, root, front.Request("text", scope="chunks", filter=_LATE), False))
+
+
+@query(
+    _fused(
+        f"WITH {_TEXT_LEG}, {S.U}, both_of AS (SELECT DISTINCT q.qid FROM q JOIN u ON u.id = q.qid), l AS (SELECT * FROM u WHERE id IN (SELECT id FROM al)), vl AS (SELECT * FROM ({S.top(S.cosines('l'), 100, score='score')}) WHERE qid IN (SELECT qid FROM both_of)), tl AS (SELECT * FROM ({S.top('tx', 100, score='score')}) WHERE qid IN (SELECT qid FROM both_of))",
+        "coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0)",
+    )
+)
+def rh_filter(spark: SparkSession, root: str) -> DataFrame:
+    """Hybrid search under the same scope and filter on both legs."""
+    return scored(_searched(spark, root, front.Request("hybrid", scope="chunks", filter=_LATE), True))
+
+
 # --- expansion
 
 
@@ -673,10 +742,9 @@ def wr_listcol(spark: SparkSession, root: str) -> DataFrame:
     return c.select("name", "dim", "bit_width", nlist.alias("nlist"), F.when(F.col("fts_keys").isNull(), 0).otherwise(F.size("fts_keys")).cast("bigint").alias("keys"))
 
 
-@query()
+@query(f"WITH {_GIVEN} SELECT id, list_id FROM own")
 def ix_assign(spark: SparkSession, root: str) -> DataFrame:
-    v = vecs(spark, root)
-    return ivf.assign(v, lists_of(v), DIM).groupBy("list_id").agg(F.count("*").alias("n"))
+    return _given_lists(spark, root)[0].select("id", "list_id")
 
 
 # --- set operations
@@ -731,58 +799,110 @@ def ev_percentile(spark: SparkSession, root: str) -> DataFrame:
     return found.select("event_type", F.round("value", 6).alias("value"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '\\s+'), lambda w: w <> '')"
+_W = r"[\s\p{Z}\x1c-\x1f\x{85}]"
 
 
-@query(f"SELECT doc_id, array_to_string({_WORDS.format('text')}[1:30], ' ') AS summary FROM documents")
-def dp_summary(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents", "doc_id", "text").select("doc_id", corpus.lead_summary(F.col("text"), 30).alias("summary"))
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '{_W}+'), lambda w: w <> '')"
 
 
-_BLOCKS = "list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), lambda b: regexp_replace(b, '^\\s+|\\s+$', '', 'g')), lambda b: b <> '')"
+_CLOSING = "('.', '!', '?', ':', ';', ',', '\"', '”', ')', chr(39), ']')"
+_LINES = f"""ln AS (SELECT doc_id, i, line, len({_words('line')}) <= 10 AND right(line, 1) NOT IN {_CLOSING} AS heading FROM
+ (SELECT doc_id, i, regexp_replace(line, '^{_W}+|{_W}+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)) WHERE line <> '')"""
+# a line's block is told by the number of plain lines before it; its headings have the same number
+_SPLIT = f"""{_LINES}, hd AS (SELECT doc_id, min(i) AS first FROM ln WHERE heading GROUP BY doc_id),
+bk AS (SELECT *, count(*) FILTER (NOT heading) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ln LEFT JOIN hd USING (doc_id)),
+le AS (SELECT doc_id, i, line FROM bk WHERE first IS NULL OR i < first),
+bo AS (SELECT doc_id, b, string_agg(line, chr(10) ORDER BY i) AS block FROM bk WHERE first IS NOT NULL GROUP BY doc_id, b HAVING count(*) FILTER (NOT heading AND i > first) > 0)"""
 
 
-@query(f"WITH b AS (SELECT doc_id, unnest({_BLOCKS}) AS b FROM documents) SELECT doc_id, count(*) AS blocks, count(*) FILTER (len({_WORDS.format('b')}) <= 10 AND NOT regexp_matches(b, '[.!?:;,]\\s*$')) AS headings FROM b GROUP BY doc_id")
+@query(f"SELECT doc_id, array_to_string({_words('text')}[1:300], ' ') AS summary FROM documents")
+def dp_summary(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents", "doc_id", "text").select("doc_id", corpus.lead_summary(F.col("text")).alias("summary"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (heading) AS headings FROM ln GROUP BY doc_id")
 def dp_headings(spark: SparkSession, root: str) -> DataFrame:
-    b = table(spark, root, "documents", "doc_id", "text").select("doc_id", F.explode(corpus.blocks(F.col("text"))).alias("b"))
-    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(corpus.is_heading(F.col("b")).cast("bigint")).alias("headings"))
+    own = table(spark, root, "documents", "doc_id", "text").select("doc_id", F.explode(corpus.lines(F.col("text"))).alias("line"))
+    return own.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(corpus.is_heading(F.col("line")).cast("bigint")).alias("headings"))
 
 
-@query()
+@query(f"WITH {_SPLIT} SELECT doc_id, 'lead' AS part, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS place, line AS block FROM le UNION ALL SELECT doc_id, 'body', row_number() OVER (PARTITION BY doc_id ORDER BY b)::INT, block FROM bo")
 def dp_split(spark: SparkSession, root: str) -> DataFrame:
     lead, body = corpus.lead_and_body(F.col("text"))
-    return table(spark, root, "documents", "doc_id", "text").select("doc_id", F.size(lead).alias("lead"), F.size(body).alias("body"))
+    own = table(spark, root, "documents", "doc_id", "text").select("doc_id", lead.alias("lead"), body.alias("body"))
+    parts = [own.select("doc_id", F.lit(p).alias("part"), F.posexplode(p).alias("place", "block")) for p in ("lead", "body")]
+    return parts[0].unionByName(parts[1]).select("doc_id", "part", (F.col("place") + 1).alias("place"), "block")
 
 
-@query()
+#: The shape of the articles in the test tables: a twentieth of the usual sizes, since their longest text has some 370 words.
+SMALL = {"lead": 3, "body": 120, "close": 40, "tail": 10}
+
+
+def _windows(close: int, tail: int) -> str:
+    """The greedy windows of the body blocks, block by block."""
+    return f"""{_SPLIT}, nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS n, len({_words('block')}) AS w, block FROM bo),
+wi AS (SELECT doc_id, n, 0 AS win, w AS so_far FROM nb WHERE n = 1 UNION ALL SELECT nb.doc_id, nb.n, CASE WHEN so_far >= {close} THEN win + 1 ELSE win END, CASE WHEN so_far >= {close} THEN w ELSE so_far + w END FROM wi JOIN nb ON nb.doc_id = wi.doc_id AND nb.n = wi.n + 1),
+wt AS (SELECT doc_id, win, sum(w)::BIGINT AS words, string_agg(block, chr(10) || chr(10) ORDER BY n) AS text FROM wi JOIN nb USING (doc_id, n) GROUP BY doc_id, win),
+wl AS (SELECT *, max(win) OVER (PARTITION BY doc_id) AS last FROM wt),
+wm AS (SELECT doc_id, CASE WHEN win = last AND win > 0 AND words < {tail} THEN win - 1 ELSE win END AS win, win AS part, words, text FROM wl),
+ch AS (SELECT doc_id, win, sum(words)::BIGINT AS words, string_agg(text, chr(10) || chr(10) ORDER BY part) AS text FROM wm GROUP BY doc_id, win)"""
+
+
+@query(f"WITH RECURSIVE {_windows(SMALL['close'], SMALL['tail'])} SELECT doc_id, win::INT AS n, words, text AS chunk FROM ch")
 def dp_chunks(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents", "doc_id", "text")
-    return d.select("doc_id", F.posexplode(corpus.windows(corpus.blocks(F.col("text")), 60, 15, None)).alias("n", "chunk")).select("doc_id", "n", F.size(corpus.words(F.col("chunk"))).alias("words"))
+    """All windows of every body, none left out."""
+    _, body = corpus.lead_and_body(F.col("text"))
+    own = table(spark, root, "documents", "doc_id", "text").select("doc_id", F.posexplode(corpus.windows(body, SMALL["close"], SMALL["tail"], None)).alias("n", "chunk"))
+    return own.select("doc_id", "n", F.size(corpus.words(F.col("chunk"))).cast("bigint").alias("words"), "chunk")
+
 
+_SHAPED = f"""WITH RECURSIVE {_windows(SMALL['close'], SMALL['tail'])}, lw AS (SELECT doc_id, sum(len({_words('line')})) AS n, string_agg(line, ' ' ORDER BY i) AS lead FROM le GROUP BY doc_id), bw AS (SELECT doc_id, sum(w) AS n FROM nb GROUP BY doc_id),
+ti AS (SELECT doc_id, arg_min(line, i) AS title FROM ln GROUP BY doc_id), nw AS (SELECT doc_id FROM ch GROUP BY doc_id HAVING count(*) >= 2),
+el AS (SELECT doc_id, title, lead FROM lw JOIN bw USING (doc_id) JOIN ti USING (doc_id) JOIN nw USING (doc_id) WHERE lw.n >= {SMALL['lead']} AND bw.n >= {SMALL['body']} AND NOT starts_with(title, 'List of')),
+sh AS (SELECT 'w' || doc_id AS id, doc_id, 'summary' AS kind, title, array_to_string({_words('lead')}[1:300], ' ') AS text FROM el UNION ALL SELECT 'w' || doc_id || '#' || win, doc_id, 'chunk', title, text FROM el JOIN ch USING (doc_id) WHERE win < 10)"""
 
-@query(f"SELECT doc_id FROM documents WHERE len({_WORDS.format('text')}) >= 60 AND len({_BLOCKS}) >= 2 AND NOT starts_with(text, 'List of')")
+
+def _articles(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "documents", "doc_id", "text")
+    return corpus.shaped(own.select("doc_id", "text", F.get(corpus.lines(F.col("text")), F.lit(0)).alias("title")), **SMALL)
+
+
+@query(f"{_SHAPED} SELECT * FROM sh")
 def dp_shape(spark: SparkSession, root: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, root, "documents", "doc_id", "text").where((F.size(corpus.words(t)) >= 60) & (F.size(corpus.blocks(t)) >= 2) & ~t.startswith("List of")).select("doc_id")
+    """The records of the documents that make an article; a document's title is its first line."""
+    return _articles(spark, root)
+
 
+@query(
+    f"""{_SHAPED}, en AS (SELECT doc_id FROM sh WHERE kind = 'chunk' GROUP BY doc_id HAVING count(*) >= 3),
+pa AS (SELECT doc_id, id, unnest(string_split(text, chr(10))) AS p FROM sh WHERE kind = 'chunk' AND doc_id IN (SELECT doc_id FROM en)),
+se AS (SELECT doc_id, id AS target, unnest(string_split(regexp_replace(p, '([.!?]){_W}+', '\\1' || chr(10), 'g'), chr(10))) AS qtext FROM pa WHERE p = '' OR len({_words('p')}) > 10 OR right(p, 1) IN {_CLOSING})
+SELECT 'summary' AS kind, doc_id, id AS target, title AS qtext FROM sh WHERE kind = 'summary'
+UNION ALL SELECT 'indoc', doc_id, target, qtext FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(target || '/' || qtext), target, qtext) AS n FROM se WHERE len({_words('qtext')}) BETWEEN 8 AND 40) WHERE n = 1"""
+)
+def dp_queries(spark: SparkSession, root: str) -> DataFrame:
+    """Titles aimed at summaries, and sentences aimed at the chunk they stand in."""
+    return corpus.made_queries(written(_articles(spark, root), "articles"))
 
-@query("SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY text")
+
+@query(f"WITH {S.R} SELECT external_id, id FROM (SELECT id, trim(external_id) AS external_id, row_number() OVER (PARTITION BY trim(external_id) ORDER BY id) AS n FROM r WHERE trim(external_id) <> '' AND regexp_matches(coalesce(text, ''), '[^\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]')) WHERE n = 1")
 def dp_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.first_by_key(table(spark, root, "documents", "doc_id", "text"), "text", "doc_id", "text").select("text", "doc_id")
+    """Of records delivered again under the same key the first with a text."""
+    return corpus.first_by_key(table(spark, root, "records", "id", "external_id", "text"), "external_id", "id", "text").select("external_id", "id")
 
 
-@query(f"WITH {S.R}, c AS (SELECT coll_name, doc_id, count(*) AS n FROM r GROUP BY coll_name, doc_id) SELECT coll_name, doc_id, coalesce(sum(n) OVER (PARTITION BY coll_name ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 250 AS batch FROM c")
+@query(
+    f"""WITH RECURSIVE {S.R}, c AS (SELECT coll_name, doc_id, count(*) AS n, row_number() OVER (PARTITION BY coll_name ORDER BY doc_id NULLS FIRST) AS i FROM r GROUP BY coll_name, doc_id),
+b AS (SELECT coll_name, doc_id, i, n AS held, 0 AS batch FROM c WHERE i = 1
+ UNION ALL SELECT c.coll_name, c.doc_id, c.i, CASE WHEN held >= 250 THEN n ELSE held + n END, CASE WHEN held >= 250 THEN batch + 1 ELSE batch END FROM b JOIN c ON c.coll_name = b.coll_name AND c.i = b.i + 1)
+SELECT coll_name, doc_id, batch::BIGINT AS batch FROM b"""
+)
 def dp_batch_docs(spark: SparkSession, root: str) -> DataFrame:
-    counts = records(spark, root, "id", "coll_name", "doc_id").groupBy("coll_name", "doc_id").agg(F.count("*").alias("n"))
+    counts = table(spark, root, "records", "id", "coll_name", "doc_id").distinct().groupBy("coll_name", "doc_id").agg(F.count("*").alias("n"))
     return corpus.batches(counts, "coll_name", "doc_id")
 
 
-@query(f"WITH {S.R}, s AS (SELECT id, text, md5(id::VARCHAR) AS h FROM r WHERE type = 'summary' AND text IS NOT NULL AND trim(text) <> '') SELECT id AS target, text AS qtext FROM s WHERE substr(h, 1, 1) = '0'")
-def dp_queries(spark: SparkSession, root: str) -> DataFrame:
-    s = records(spark, root, "id", "type", "text").where("type = 'summary' and text is not null and trim(text) <> ''")
-    return s.where(F.substring(F.md5(F.col("id").cast("string")), 1, 1) == "0").select(F.col("id").alias("target"), F.col("text").alias("qtext"))
-
-
 # --- rankings
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kelpie.functions.runs import best_of_rows
 from kelpie.functions.scalars import auto_nlist
 from kelpie.functions.vectors import cosine, usable
-from kelpie.operators.vector import QUERY_BYTES, ranked
+from kelpie.operators.vector import MOST_IDS_SENT, QUERY_BYTES, ranked, top_k
 
 #: Vectors the centroids are trained on (a bound on the driver's work), rounds, default lists probed by a query.
 TRAIN_SAMPLE, ROUNDS, NPROBE = 65_536, 8, 16
@@ -25,7 +25,7 @@ class NotEnoughVectors(ValueError):
 
 def sample(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n vectors at random, all where there are fewer; the same ones for a seed, wherever the rows lie."""
-    return vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(n)
+    return vectors.orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col("id"))), "id").limit(n)
 
 
 def train(vectors: DataFrame, nlist: int | None = None, dim: int = 64, seed: int = 0, least: int = LEAST_VECTORS) -> np.ndarray:
@@ -120,11 +120,12 @@ def _probe_block(queries: DataFrame, wanted: DataFrame, lists: DataFrame, k: int
     return some.select(F.col("id").cast("bigint"), "list_id", F.col("vec").cast("array<double>")).mapInArrow(run, "qid bigint, id bigint, score double").distinct()
 
 
-def search_few(queries: DataFrame, lists: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:
-    """Search among few allowed ids (a proven bound of the caller): exactly, in the lists that own them."""
-    rows = lists.join(F.broadcast(allowed.select("id").distinct()), "id", "left_semi")
-    found = rows.join(F.broadcast(queries.select("qid", F.col("vec").alias("qvec"))))
-    return ranked(found.select("qid", "id", cosine(F.col("qvec"), F.col("vec")).alias("score")), k, F.col("id").asc())
+def search_few(queries: DataFrame, lists: DataFrame, allowed: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
+    """Search among few allowed ids: exactly, in the lists that own them; all ids are too many beyond MOST_IDS_SENT."""
+    few = allowed.select(F.col("id").cast("bigint").alias("id")).limit(MOST_IDS_SENT + 1).toArrow()
+    if few.num_rows > MOST_IDS_SENT:
+        raise ValueError(f"more than {MOST_IDS_SENT} ids")
+    return top_k(queries, lists.select("id", "vec"), k, dim, only=np.unique(few.column("id").drop_null().to_numpy()))
 
 
 def missing(records: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -265,3 +265,64 @@ def levels(payloads: DataFrame) -> DataFrame:
     return payloads.select("ingest_id", _slim(F.col("documents"), True).alias("documents")).mapInArrow(
         run, "ingest_id bigint, column_path string, seq bigint, rep_level int, def_level int, value string"
     )
+
+
+#: Columns a flat table may have.
+MOST_COLUMNS = 5000
+_ITEM_OF = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+
+
+def flat_columns(found: DataFrame) -> DataFrame:
+    """(table_path, name, kind, is_array): the columns of every flat table of ``nested_objects``, one row each.
+
+    kind is integer, number or boolean where all values of a field are, else string. A field below an object is a
+    scalar or an array of scalars: objects inside are tables of their own.
+    """
+    entries = found.select("table_path", F.explode("fields").alias("at", "value"))
+    steps = F.split(F.substring("at", 2, 2**31 - 1), "/")
+    kind = F.when(F.col("value").rlike("^-?[0-9]{1,18}$"), 1).when(F.col("value").rlike("^-?[0-9]"), 2).when(F.col("value").isin("true", "false"), 4).otherwise(8)
+    own = entries.select("table_path", F.get(steps, F.lit(0)).alias("name"), kind.alias("kind"), (F.size(steps) > 1).alias("is_array"))
+    seen = own.groupBy("table_path", "name").agg(F.bit_or("kind").alias("k"), F.max("is_array").alias("is_array"))
+    of = F.when(F.col("k") == 1, "integer").when(F.col("k").isin(2, 3), "number").when(F.col("k") == 4, "boolean").otherwise("string")
+    return seen.select("table_path", "name", of.alias("kind"), "is_array")
+
+
+def _entries_of(name: str):
+    """The entries of the map of fields that belong to a field, in the order of their positions."""
+
+    def own(entry):
+        return F.get(F.split(F.substring(entry["key"], 2, 2**31 - 1), "/"), F.lit(0)) == F.lit(name)
+
+    return F.filter(F.map_entries("fields"), own)
+
+
+def _reader(kind: str):
+    def read(entry):
+        v = entry["value"]
+        return v.cast(_ITEM_OF[kind]) if kind in _ITEM_OF else F.coalesce(F.get_json_object(F.concat(F.lit("["), v, F.lit("]")), "$[0]"), v)
+
+    return read
+
+
+def flat_table(found: DataFrame, table_path: str) -> DataFrame:
+    """One flat table with typed columns: ingest_id, path, parent_path, then a column for each field of its objects.
+
+    Arrays of scalars are array columns, null elements left out. Column names are the field names, with a bar before
+    names that clash with the first three or with one that differs only in case. An unknown path gives no rows.
+    ValueError beyond MOST_COLUMNS columns.
+    """
+    own = found.where(F.col("table_path") == table_path)
+    columns = flat_columns(own).orderBy("name").limit(MOST_COLUMNS + 1).collect()
+    if len(columns) > MOST_COLUMNS:
+        raise ValueError(f"{table_path} has more than {MOST_COLUMNS} columns")
+    taken, out = {"ingest_id", "path", "parent_path"}, []
+    for c in columns:
+        name = c.name.replace("~1", "/").replace("~0", "~")
+        while name.casefold() in taken:
+            name = "|" + name
+        taken.add(name.casefold())
+        entries = _entries_of(c.name)
+        value = F.transform(entries, _reader(c.kind))
+        out_value = F.when(F.size(entries) > 0, value) if c.is_array else F.get(value, F.lit(0))
+        out.append(out_value.alias(name))
+    return own.select("ingest_id", "path", "parent_path", *out)

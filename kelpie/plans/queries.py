@@ -110,6 +110,20 @@ def p1_tables(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("table_path").agg(F.count("*").alias("objects"), F.sum(F.size("fields")).alias("fields"))
 
 
+@query()
+def p1_levels(spark: SparkSession, root: str) -> DataFrame:
+    """The shredded columns: of each leaf path its entries, its values and its deepest levels."""
+    found = shred.levels(table(spark, root, "ingest_in", "ingest_id", "documents"))
+    return found.groupBy("column_path").agg(F.count("*").alias("entries"), F.count("value").alias("present"), F.max("rep_level").alias("rep_level"), F.max("def_level").alias("def_level"))
+
+
+@query(_P1.split(",\no AS (")[0].replace("WITH RECURSIVE", "WITH") + " SELECT DISTINCT ingest_id, '/documents/' || a || '/chunks/' || b AS path, '/documents/' || a AS parent_path, c.id AS id, c.position::BIGINT AS position, c.text AS text FROM c WHERE c IS NOT NULL")
+def p1_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The flat table of the chunks, typed, with the link to the document that holds each."""
+    found = shred.nested_objects(table(spark, root, "ingest_in", "ingest_id", "documents"))
+    return shred.flat_table(written(found, "objects"), "/documents/*/chunks/*").select("ingest_id", "path", "parent_path", "id", "position", "text")
+
+
 # --- sources and sinks
 
 
@@ -137,7 +151,7 @@ def src_vecs_stream(spark: SparkSession, root: str) -> DataFrame:
     return v.select("id", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
+@query(f"WITH {S.V} SELECT id FROM v ORDER BY md5('0/' || id), id LIMIT 100")
 def src_sample(spark: SparkSession, root: str) -> DataFrame:
     return ivf.sample(vecs(spark, root), 100).select("id")
 
@@ -273,11 +287,9 @@ def fn_quantize(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT coll_name, count(DISTINCT id) AS n, least(greatest(pow(2, round(log2(greatest(count(DISTINCT id), 1) / 8192.0::DOUBLE))), 16), 1024)::BIGINT AS nlist, greatest(1, least(greatest(50, 20), 2000, count(DISTINCT id)))::BIGINT AS depth FROM records GROUP BY coll_name")
 def fn_autonlist(spark: SparkSession, root: str) -> DataFrame:
-    n = F.col("n")
-    lists = F.least(F.greatest(F.pow(F.lit(2.0), F.round(F.log2(F.greatest(n, F.lit(1)) / F.lit(8192.0)))), F.lit(16.0)), F.lit(1024.0))
-    depth = F.greatest(F.lit(1), F.least(F.lit(50), F.lit(2000), n))
     own = table(spark, root, "records", "coll_name", "id").groupBy("coll_name").agg(F.countDistinct("id").alias("n"))
-    return own.select("coll_name", "n", lists.cast("bigint").alias("nlist"), depth.cast("bigint").alias("depth"))
+    lists, depth = F.udf(scalars.auto_nlist, "bigint"), F.udf(lambda n: scalars.rescore_depth(10, n), "bigint")  # a row for each collection
+    return own.select("coll_name", "n", lists("n").alias("nlist"), depth("n").alias("depth"))
 
 
 # --- filters

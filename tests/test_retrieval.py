@@ -154,7 +154,7 @@ def test_all_lists_probed_is_exact_search(spark):
     some = ivf.search(asks, lists, table, 5, 4, dim=16)
     assert corpus.recall(some, vector.top_k(asks, df, 5, 16)).first().recall > 0.5
     few = df.where("id < 40").select("id")
-    assert {(r.qid, r.id) for r in ivf.search_few(asks, lists, few, 5).collect()} == {(r.qid, r.id) for r in vector.top_k(asks, df.where("id < 40"), 5, 16).collect()}
+    assert {(r.qid, r.id) for r in ivf.search_few(asks, lists, few, 5, 16).collect()} == {(r.qid, r.id) for r in vector.top_k(asks, df.where("id < 40"), 5, 16).collect()}
     with pytest.raises(ivf.NotEnoughVectors):
         ivf.train(df.limit(100), 8, 16)
 
@@ -177,19 +177,86 @@ def test_expansion(spark):
 
 
 def test_chunks_keep_long_documents_whole(spark, tmp_path):
-    text = "\n\n".join(" ".join(["word"] * 30) for _ in range(100))
+    text = "lead.\n" + "\n\n".join(f"Part {n}\n" + " ".join(["word"] * 29 + ["end."]) for n in range(100))
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries()["dp_chunks"](spark, str(tmp_path)).orderBy("n").collect()
-    assert [(r.doc_id, r.n, r.words) for r in got] == [(1, n, 60) for n in range(50)]
+    assert [(r.doc_id, r.n, r.words) for r in got] == [(1, n, 64) for n in range(50)]
+
+
+def test_lines_and_headings(spark):
+    rows = ["Operational history", "See also", "HMAS Sydney, named after the Australian city of Sydney.", "", "one two three four five six seven eight nine ten eleven", "A quote”"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    assert [r[0] for r in df.select(corpus.is_heading(F.col("x"))).collect()] == [True, True, False, False, False, False]
+    text = "Lead one.\n\nLead two.\n\nHistory\nFirst para.\n\nDesign\n\u00a0\nSecond para.\nThird para.\nBare"
+    lead, body = corpus.lead_and_body(F.col("text"))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "No end"), (4, "Only lead.")], "id int, text string").select("id", lead.alias("lead"), body.alias("body"))
+    got = {r.id: (r.lead, r.body) for r in df.collect()}
+    assert got[1] == (["Lead one.", "Lead two."], ["History\nFirst para.", "Design\nSecond para.", "Third para."])
+    assert got[2] == ([], []) and got[3] == ([], []) and got[4] == (["Only lead."], [])
+
+
+def test_articles_and_their_queries(spark):
+    def article(lead=120, sections=14, words=220):
+        body = [f"Section {n}\n" + " ".join(["This test sentence has exactly nine words in it."] * (words // 9)) for n in range(sections)]
+        return " ".join(["Alpha is a test article about things."] * (lead // 7)) + "\n\n" + "\n\n".join(body)
+
+    rows = [(7, "Alpha", article()), (1, "Alpha", article(lead=20)), (2, "Alpha", article(sections=4)), (3, "List of alphas", article()), (4, None, None)]
+    records = corpus.shaped(spark.createDataFrame(rows, "doc_id long, title string, text string"))
+    got = records.orderBy("id").collect()
+    assert [r.id for r in got] == ["w7", "w7#0", "w7#1", "w7#2", "w7#3"] and [r.kind for r in got] == ["summary"] + ["chunk"] * 4
+    assert len(got[0].text.split()) <= 300 and got[1].text.startswith("Section 0\nThis test")
+    asked = {r.kind: r for r in corpus.made_queries(records).collect()}
+    assert asked["summary"].qtext == "Alpha" and asked["summary"].target == "w7"
+    assert asked["indoc"].qtext.strip() == "This test sentence has exactly nine words in it." and asked["indoc"].target.startswith("w7#")
+
+
+def test_batches_close_at_a_document(spark):
+    df = spark.createDataFrame([("a", k, n) for k, n in enumerate((240, 240, 40, 240))] + [("b", 0, 900), ("b", 1, 1), ("c", 5, 250), ("c", 6, 3)], "g string, k int, n int")
+    got = {(r.g, r.k): r.batch for r in corpus.batches(df, "g", "k").collect()}
+    assert [got["a", k] for k in range(4)] == [0, 0, 1, 1] and [got["b", 0], got["b", 1], got["c", 5], got["c", 6]] == [0, 1, 0, 1]
+
+
+def test_search_front(spark):
+    from kelpie.operators.search import Expand, Request, checked, search, searched
+
+    for bad in ({"mode": "fuzzy"}, {"k": 0}, {"k": 1001}, {"scope": "all"}, {"alpha": 1.5}, {"fusion": "sum"}, {"nprobe": 0}, {"expand": Expand(0)}, {"filter": {"a": {"like": 1}}}):
+        with pytest.raises(ValueError):
+            Request(**bad)
+    ask = lambda *rows: spark.createDataFrame(list(rows), "qid long, qtext string, vec array<double>")
+    v = [1.0] + [0.0] * 7
+    for mode, row in (("vector", (1, "a", v)), ("vector", (1, None, None)), ("text", (1, None, None)), ("text", (1, "a", v)), ("hybrid", (1, None, v)), ("hybrid", (1, " \u00a0", v)), ("vector", (1, None, [1.0]))):
+        with pytest.raises(ValueError, match="query 1"):
+            checked(ask(row), mode, 8)
+    records = spark.createDataFrame([(i, f"e{i}", f"d{i // 4}", "summary" if i % 4 == 0 else "chunk", i % 4, f"word{i} shared" + (" tiger" if i in (5, 9) else ""), f'{{"n": {i}}}', 1) for i in range(1, 17)], "id long, external_id string, doc_id string, type string, position int, text string, metadata string, indexed int")
+    vecs = spark.createDataFrame([(i, [float(i == 2), *[float(i % 7 == k) for k in range(1, 8)]]) for i in range(1, 17) if i % 7], "id long, vec array<double>")
+    got = search(ask((1, "tiger", v)), records, vecs, Request("hybrid", 5, filter={"n": {"lt": 9}}), dim=8).orderBy("rank").collect()
+    assert {r.id for r in got} >= {2, 5} and max(r.id for r in got) < 9
+    text = search(ask((1, "tiger", None), (2, "nothing", None)), records, vecs, Request("text", scope="both", filter={"doc_id": "d2"}), dim=8).collect()
+    assert [(r.qid, r.id) for r in text] == [(1, 9)]
+    found = searched(ask((1, "tiger", None)), records, vecs, Request("text", 1, expand=Expand(siblings_topk=2, summary=True)), dim=8).first()
+    assert found.id in (5, 9) and found.siblings == [] and found.summary.id == found.id // 4 * 4
+    near = searched(ask((1, None, v)), records, vecs, Request("vector", 1, expand=Expand(siblings_topk=1)), dim=8).first()
+    assert near.id == 2 and len(near.siblings) == 1
+    assert search(ask((1, "ige", None)), records, vecs, Request("text"), dim=8, tokenizer="trigram").count() == 2
+    assert {r.id for r in search(ask((1, "tiger", None)), records, vecs, Request("hybrid", 3, fusion="relative", alpha=0.0), dim=8).collect()} == {5, 9}
+
+
+def test_many_queries_meet_the_postings_by_term(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9)))) for i in range(80)]
+    t = bm25.tokenised(spark.createDataFrame(rows, "id long, text string"))
+    asks = spark.createDataFrame([(q, " ".join(rng.choice(list("abcxyz"), 3))) for q in range(9)], "qid long, qtext string")
+    want = {(r.qid, r.rank): (r.id, round(r.score, 9)) for r in bm25.single_stage(asks, t, 5).collect()}
+    monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", 2)
+    for most in (8, 1):
+        monkeypatch.setattr(bm25, "MOST_BLOCKS", most)
+        assert {(r.qid, r.rank): (r.id, round(r.score, 9)) for r in bm25.single_stage(asks, t, 5).collect()} == want
 
 
 def test_windows_and_percentiles(spark):
-    block = "w " * 300
-    df = spark.createDataFrame([("\n\n".join([block.strip()] * 6),), (None,), ("short",)], "text string")
-    got = [[len(x.split()) for x in r.w] for r in df.select(corpus.windows(corpus.blocks(F.col("text"))).alias("w")).collect()]
-    assert got == [[900, 900], [], [1]]
-    tail = spark.createDataFrame([("\n\n".join([block.strip()] * 3 + ["x " * 50]),)], "text string")
-    assert [len(x.split()) for x in tail.select(corpus.windows(corpus.blocks(F.col("text"))).alias("w")).first().w] == [950]
+    df = spark.createDataFrame([(["w " * 500, "w " * 400, "w " * 900, "w " * 100],), (["w " * 800] * 30,), (["short"],), ([],)], "b array<string>")
+    got = [[len(x.split()) for x in r.w] for r in df.select(corpus.windows(F.col("b")).alias("w")).collect()]
+    assert got == [[900, 1000], [800] * 10, [1], []]
     import statistics
 
     values = [float(v) for v in np.random.default_rng(1).standard_normal(57)]

@@ -111,3 +111,20 @@ def test_nested_objects(spark):
 def test_empty_table(spark):
     df = frame(spark, [])
     assert nested_objects(df).count() == 0 and levels(df).count() == 0
+
+
+def test_flat_tables_are_typed(spark):
+    from kelpie.operators.shred import flat_columns, flat_table
+    from kelpie.sources.ingest import DOCUMENTS
+
+    meta = ['{"n": 1, "ok": true, "tags": ["a", null, "b"], "path": "x", "who": {"age": 1.5}}', '{"n": 2.5, "tags": [], "a/b": "q\\"", "N": "z"}', None]
+    chunks = [{"id": f"c{k}", "position": k, "text": "t", "vector": None, "metadata": m} for k, m in enumerate(meta)]
+    df = spark.createDataFrame([(1, [{"doc_id": "d", "summary": None, "chunks": chunks}])], f"ingest_id bigint, documents {DOCUMENTS}")
+    found = nested_objects(df).cache()
+    rows = flat_table(found, "/documents/*/chunks/*/metadata").orderBy("path").collect()
+    assert [(r.ok, r.tags, r["|path"], r["a/b"], r.N, r["|n"]) for r in rows] == [(True, ["a", "b"], "x", None, None, 1.0), (None, None, None, 'q"', "z", 2.5)]
+    assert rows[0].parent_path == "/documents/0/chunks/0" and rows[0].path == "/documents/0/chunks/0/metadata"
+    who = flat_table(found, "/documents/*/chunks/*/metadata/who").collect()
+    assert [(r.age, r.parent_path) for r in who] == [(1.5, "/documents/0/chunks/0/metadata")]
+    assert flat_table(found, "/nowhere").count() == 0 and {r.kind for r in flat_columns(found).where("name = 'position'").collect()} == {"integer"}
+    assert [r.position for r in flat_table(found, "/documents/*/chunks/*").orderBy("path").collect()] == [0, 1, 2]

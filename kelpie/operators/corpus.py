@@ -46,14 +46,26 @@ def lead_and_body(text: Column) -> tuple[Column, Column]:
 
     So a block of the body never ends in a bare heading, and headings with nothing below are left out.
     """
-    own = lines(text)
-    marked = F.transform(own, is_heading)
-    first = F.array_position(marked, True)
-    plain = F.filter(F.transform(marked, lambda h, i: F.when(~h, i + 1)), lambda i: i.isNotNull())
-    spans = F.filter(F.transform(plain, lambda i, j: F.struct(F.when(j > 0, F.get(plain, j - 1)).otherwise(0).alias("a"), i.alias("b"))), lambda x: x["b"] > first)
-    body = F.transform(spans, lambda x: F.array_join(F.slice(own, x["a"] + 1, x["b"] - x["a"]), "\n"))
-    none = F.array().cast("array<string>")
-    return F.when(first == 0, own).otherwise(F.slice(own, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))), F.when(first == 0, none).otherwise(body)
+    def parts(own: Column) -> Column:
+        return _bound(F.transform(own, is_heading), lambda marked: _bound(F.array_position(marked, True), lambda first: split(own, marked, first)))
+
+    def split(own: Column, marked: Column, first: Column) -> Column:
+        plain = F.filter(F.transform(marked, lambda h, i: F.when(~h, i + 1)), lambda i: i.isNotNull())
+        lead = F.when(first == 0, own).otherwise(F.slice(own, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
+        return _bound(plain, lambda plain: F.struct(lead.alias("lead"), blocks(own, first, plain).alias("body")))
+
+    def blocks(own: Column, first: Column, plain: Column) -> Column:
+        spans = F.transform(plain, lambda i, j: F.struct(F.when(j > 0, F.get(plain, j - 1)).otherwise(0).alias("a"), i.alias("b")))
+        below = F.filter(spans, lambda x: (first > 0) & (x["b"] > first))
+        return F.transform(below, lambda x: F.array_join(F.slice(own, x["a"] + 1, x["b"] - x["a"]), "\n"))
+
+    both = _bound(lines(text), parts)
+    return both["lead"], both["body"]
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def windows(blocks: Column, close: int = WINDOW_WORDS, tail: int = TAIL_WORDS, most: int | None = MOST_WINDOWS) -> Column:

@@ -43,22 +43,22 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, bu
     """
     rows = queries.where(usable(F.col("vec"), dim)).select("qid", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["qid"])
     per_block = max(1, QUERY_BYTES // (8 * dim + 8))
-    n = rows.count()
-    blocks = max(1, -(-n // per_block))
+    got = rows.limit(per_block + 1).toArrow()
+    blocks = 1 if got.num_rows <= per_block else -(-rows.count() // per_block)
     out = None
     for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else rows
+        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow() if blocks > 1 else got
         scored = _block_scores(part, vectors, k, dim, but_itself, only)
         out = scored if out is None else out.unionByName(scored)
     return ranked(out, k, F.col("id").asc())
 
 
-def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, but_itself: bool, only: np.ndarray | None) -> DataFrame:
-    got = queries.orderBy("qid").toArrow()
+def _block_scores(queries: pa.Table, vectors: DataFrame, k: int, dim: int, but_itself: bool, only: np.ndarray | None) -> DataFrame:
+    got = queries.sort_by("qid")
     qids = got.column("qid").to_numpy().astype(np.int64)
     q = np.array(got.column("vec").to_pylist(), np.float64).reshape(-1, dim)
     q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-    shared = queries.sparkSession.sparkContext.broadcast((qids, q, only))
+    shared = vectors.sparkSession.sparkContext.broadcast((qids, q, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, only = shared.value

@@ -235,6 +235,24 @@ def test_one_long_record_hides_no_case(spark):
     assert got == brute_distinctive(rows) == {(0, "rare"), (1, "rare"), *((i, "seldom") for i in range(2, 7))}
 
 
+def test_the_bar_alone_decides(spark, monkeypatch):
+    """Also in collections so small that a term of all records reaches the bar, whatever a mixture would say of its counts."""
+    small = [[(i, "aaa " * (50 if i == n - 1 else 2)) for i in range(n)] for n in (1, 2, 3, 5, 6)]
+    for rows in small:
+        scored = distinctive.term_scores(texts_frame(spark, rows), (3, 5.5), least_tf=2, least_chars=3).collect()
+        assert {(r.id, r.term) for r in scored} == brute_distinctive(rows)
+        assert all(r.score >= 0.5 - 1e-9 and (r.tf, r.df) == (len(dict(rows)[r.id].split()), len(rows)) for r in scored)
+
+    def unwanted(*_, **__):
+        raise AssertionError("a fit that decides nothing")
+
+    monkeypatch.setattr(distinctive, "fit_two_poisson", unwanted)
+    for rows in small:
+        got = distinctive.standing_out(texts_frame(spark, rows))
+        assert got.columns == ["id", "term"] and {tuple(r) for r in got.collect()} == brute_distinctive(rows)
+        assert got.count() == (len(rows) if len(rows) < 6 else 0)
+
+
 def test_scores_separate_the_elite(spark):
     """Counts drawn from two Poissons: the fit recovers them, and the posterior ranks a term's occurrences by count."""
     rng = np.random.default_rng(0)

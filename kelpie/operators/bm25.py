@@ -295,8 +295,8 @@ def direct(queries: DataFrame, tokenised: DataFrame, members: DataFrame, k: int
 
 
 def trigram_tokens(queries: DataFrame) -> DataFrame:
-    """(qid, token): the words of each query (qid, qtext) for a substring search, unfolded; MOST_TOKENS count."""
-    return queries.select("qid", F.explode(F.slice(raw_words(F.col("qtext")), 1, MOST_TOKENS)).alias("token"))
+    """(qid, token): all words of each query (qid, qtext) for a substring search, unfolded."""
+    return queries.select("qid", F.explode(raw_words(F.col("qtext"))).alias("token"))
 
 
 def trigram(queries: DataFrame, records: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:

@@ -50,6 +50,12 @@ def test_trigram_of_several_tokens_equals_a_full_text_database(spark):
     assert {r.qid for r in got} == {1, 2, 3}
 
 
+def test_trigram_takes_all_words_of_a_long_text(spark):
+    records = spark.createDataFrame([(1, "word0 here"), (2, "an ending"), (3, "nothing"), (4, "at all")], "id long, text string")
+    asks = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(150)) + " ending")], "qid long, qtext string")
+    assert {r.id for r in bm25.trigram(bm25.trigram_tokens(asks), records).collect()} == {1, 2}
+
+
 def test_trigrams_of_all_texts(spark, tmp_path):
     texts = ["Привет, мир", "Ünïque – naïve", "一二三四", "Αθήνα Αθήνα", "مرحبا بكم", "plain ASCII plain", "a\u00a0b", "😀😀😀😀", "e\u0301te\u0301", "ab", "", None]
     rows = [(i, t) for i, t in enumerate(texts)]

@@ -274,6 +274,30 @@ def test_many_queries_meet_the_postings_by_term(spark, monkeypatch):
         assert {(r.qid, r.rank): (r.id, round(r.score, 9)) for r in bm25.single_stage(asks, t, 5).collect()} == want
 
 
+def test_thousands_of_queries_are_scored_without_a_join(spark, monkeypatch):
+    for name, value in (("FIRST_INDEXED", 16), ("MOST_INDEXED", 64), ("MOST_DENSE", 4), ("CELLS", 2000)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = [[words[int(x)] for x in rng.zipf(1.3, rng.integers(0, 30)) if x < 300] for _ in range(400)]
+    asks = [texts[int(i)] for i in rng.integers(0, 400, 1600)]
+    t = bm25.tokenised(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "id long, text string").repartition(2))
+    t = bm25.written(t, "tokens")
+    found = bm25.single_stage(spark.createDataFrame([(q, " ".join(x)) for q, x in enumerate(asks)], "qid long, qtext string"), t, 5)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    tf = np.array([[x.count(w) for w in words] for x in texts], float)
+    df, dl = (tf > 0).sum(0), tf.sum(1)
+    sat = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[:, None] / dl.mean()))
+    weight = np.maximum(np.log((400 - df + 0.5) / (df + 0.5)), 1e-6)
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, round(r.score, 6)))
+    for q, x in enumerate(asks):
+        s = sat @ (weight * [x.count(w) for w in words])
+        best = sorted(np.flatnonzero(s > 0), key=lambda i: (-round(s[i], 9), i))[:5]
+        assert got.get(q, []) == [(i, round(s[i], 6)) for i in best]
+
+
 def test_windows_and_percentiles(spark):
     df = spark.createDataFrame([(["w " * 500, "w " * 400, "w " * 900, "w " * 100],), (["w " * 800] * 30,), (["short"],), ([],)], "b array<string>")
     got = [[len(x.split()) for x in r.w] for r in df.select(corpus.windows(F.col("b")).alias("w")).collect()]

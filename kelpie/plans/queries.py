@@ -578,7 +578,7 @@ def rt_metakeys(spark: SparkSession, root: str) -> DataFrame:
     r = records(spark, root, "id", "text", "metadata")
     own = r.withColumn("text", text.bm25_text(F.col("text"), meta.fts_suffix(["title"])(F.col("metadata"))))
     asks = asked(own).select(F.col("id").alias("qid"), F.col("text").alias("qtext"))
-    return scored(bm25.single_stage(asks, bm25.with_metadata(r, ["title"])))
+    return scored(bm25.single_stage(asks, written(bm25.with_metadata(r, ["title"]), "tokens")))
 
 
 # --- hybrid retrieval
